@@ -112,3 +112,12 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(text_len + CASE WHEN before IS NOT DISTINCT FROM role THEN 6 ELSE 20 + role_len END) AS BIGINT) AS formatted_chars
 FROM esc GROUP BY conv_id
 """
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "documents"))
+
+
+query(op7_bpe_round_trip)
