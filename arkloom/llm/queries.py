@@ -121,3 +121,15 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op7_bpe_round_trip)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, remainder, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 4) == 2
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+query(op9_quality)
