@@ -133,3 +133,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op9_quality)
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+query(op5_near_duplicates)
