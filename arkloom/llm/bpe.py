@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import open_store, work_dir
+from .store import mapped, save, work_dir
 
 LEXICON = 1 << 16
 #: A word of more bytes is left to exact merging.
@@ -218,45 +217,6 @@ def find_words(fst: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     return number
 
 
-def save(arrays: dict[str, np.ndarray], uri: str) -> str:
-    """One file: a line of JSON with each array's type and place, then the arrays."""
-    head, body, at = {}, [], 0
-    for name, a in arrays.items():
-        raw = np.ascontiguousarray(a).tobytes()
-        head[name] = [a.dtype.str, at, a.size]
-        raw += bytes(-len(raw) % 64)
-        body.append(raw)
-        at += len(raw)
-    line = json.dumps(head).encode()
-    line += b" " * (-(len(line) + 1) % 64) + b"\n"
-    store, path = open_store(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(path, compression=None) as f:
-        f.write(line + b"".join(body))
-    return uri
-
-
-def mapped(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file of ``save``, mapped to memory; a file in another store is fetched first."""
-    from pyarrow import fs
-
-    store, path = open_store(uri)
-    if isinstance(store, fs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r")
-    else:
-        with tempfile.TemporaryFile() as f, store.open_input_stream(path, compression=None) as g:
-            f.write(g.read())
-            f.flush()
-            raw = np.memmap(f, np.uint8, "r")
-    stop = raw[: 1 << 20].tobytes().index(b"\n") + 1
-    head = json.loads(raw[:stop].tobytes())
-    out = {}
-    for name, (kind, at, size) in head.items():
-        dtype = np.dtype(kind)
-        out[name] = raw[stop + at : stop + at + size * dtype.itemsize].view(dtype)
-    return out
-
-
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of slices of some MB."""
     from .words import flat, slices

@@ -142,3 +142,13 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op5_near_duplicates)
+
+
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import remainder
+    from .suffix_tree import score
+
+    return score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+
+
+query(op4_suffix_tree)
