@@ -136,3 +136,20 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1),
     rows = rows.withColumn("copies", F.col("passes") + (order <= F.col("k")).cast("long"))
     extra = [c for c in thin.columns if c not in ("doc_id", "source", "size", "skey", "h", "hb")]
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *extra)
+
+
+def mixed(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it.
+
+    Copies are decided on thin rows and joined to the texts by doc_id.  Rows that
+    share a doc_id and all that matters for the mix are taken together.
+    """
+    plan = mix(docs, seed, weights, most)
+    key = plan.groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    key = cut(key.where("__copies > 0").withColumnRenamed("doc_id", "__id"), "copies")
+    rows = docs.join(key, docs["doc_id"].eqNullSafe(key["__id"]))
+    # Of rows that share a doc_id, as many are taken in all as the mix takes of them.
+    order = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text"))) - 1
+    share = F.floor(F.col("__copies") / F.col("__rows")) + (order < F.col("__copies") % F.col("__rows")).cast("long")
+    rows = rows.withColumn("__n", F.when(F.col("__rows") == 1, F.col("__copies")).otherwise(share)).where("__n > 0")
+    return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
