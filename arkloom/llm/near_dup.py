@@ -11,11 +11,13 @@
    NEAR next neighbours.  Each class keeps the best partner before it.
 4. These pairs are confirmed on full sets and give components.  Then the orders are
    read again with the components: whatever pair of different components shares a
-   region is compared by signature and, if it may link, confirmed in turn.  Only
-   pairs within one component are never confirmed, as they change nothing.
+   region is compared by signature and, if it may link, confirmed in the task that
+   holds the region.  Only pairs within one component are never confirmed, as they
+   change nothing, and only links that join components are handed on.
 
-Thus large groups of copies cost rows in proportion to their members, and what
-step 3 skips in a large region step 4 takes up.  A pair at the threshold of 0.8
+Full sets lie in files of the shared folder, and tasks read those they need by
+offset; neither sets nor pairs are joined.  Thus large groups of copies cost rows in
+proportion to their members, and what step 3 skips in a large region step 4 takes up.  A pair at the threshold of 0.8
 shares a region of some order with probability 1 - (1 - 0.8**4)**16 = 0.9998.
 
 Defined results: texts without words and null texts have no shingles and are
@@ -26,6 +28,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import cut
+from .store import cut, open_store, work_dir
 from .words import flat, mix, shingles, slices, words
 
 POSITIONS = 64
@@ -80,13 +83,52 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes each text's set to a file of this task; rows say where."""
+    store, path = open_store(folder)
+    store.create_dir(path, recursive=True)
+    name, out, at = uuid.uuid4().hex[:16], None, 0
     for batch in batches:
         data, offsets = flat(batch.column(1))
         for a, b in slices(offsets, 1 << 20):
             own = offsets[a : b + 1] - offsets[a]
             packed = [pack(s) for s in shingles(*words(data[offsets[a] : offsets[b]], own), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(packed, pa.binary())], ["rep", "set"])
+            if out is None:
+                out = store.open_output_stream(f"{path}/{name}", compression=None)
+            out.write(b"".join(packed))
+            size = np.array([len(x) for x in packed], np.int64)
+            where = at + np.cumsum(size) - size
+            at += int(size.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([name] * len(size)), pa.array(where), pa.array(size)], ["rep", "file", "at", "size"])
+    if out is not None:
+        out.close()
+
+
+class Sets:
+    """Sets read by offset; those last used stay in memory, up to a bound."""
+
+    MOST = 64 << 20
+
+    def __init__(self, folder: str):
+        self.store, self.path = open_store(folder)
+        self.files: dict[str, object] = {}
+        self.sets: dict[tuple[str, int], np.ndarray] = {}
+        self.bytes = 0
+
+    def get(self, file: str, at: int, size: int) -> np.ndarray:
+        got = self.sets.get((file, at))
+        if got is None:
+            if len(self.files) > 64:
+                self.files.clear()
+            if file not in self.files:
+                self.files[file] = self.store.open_input_file(f"{self.path}/{file}")
+            got = unpack(self.files[file].read_at(size, at))
+            if self.bytes > self.MOST:
+                self.sets.clear()
+                self.bytes = 0
+            self.sets[file, at] = got
+            self.bytes += got.nbytes
+        return got
 
 
 def pack(s: np.ndarray) -> bytes:
@@ -110,18 +152,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int, folder: str) -> Iterator[pa.RecordBatch]:
+    sets = Sets(folder)
     for batch in batches:
-        a, b, x, y = (batch.column(c) for c in ("a", "b", "set_a", "set_b"))
-        last, left = None, None
-        keep = []
-        for i in range(batch.num_rows):
-            raw = x[i].as_buffer()
-            if last is None or not raw.equals(last):
-                last, left = raw, unpack(raw.to_pybytes())
-            keep.append(similar(left, unpack(y[i].as_buffer().to_pybytes()), percent))
+        cols = [batch.column(c).to_pylist() for c in ("file_a", "at_a", "size_a", "file_b", "at_b", "size_b")]
+        keep = [similar(sets.get(*r[:3]), sets.get(*r[3:]), percent) for r in zip(*cols, strict=True)]
         where = pa.array(np.flatnonzero(keep))
-        yield pa.RecordBatch.from_arrays([a.take(where), b.take(where)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(where), batch.column("b").take(where)], ["a", "b"])
 
 
 class Region:
@@ -215,29 +252,34 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate((best[got], np.zeros(len(alone)))))], ["a", "b", "close"])
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of a region in different components that may link."""
+def _rest(batches: Iterator[pa.RecordBatch], percent: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """(a, b): confirmed links between classes of a region whose components nothing in this task had joined."""
+    sets = Sets(folder)
     for rows in _chunks(batches):
         r = Region(_tight(rows))
-        comp = rows.column("comp").to_numpy()
+        comp, size = rows.column("comp").to_numpy(), rows.column("size").to_numpy()
+        file, at = rows.column("file").to_pylist(), rows.column("at").to_pylist()
         out_a, out_b = [], []
-        starts = np.flatnonzero(np.append(True, r.end[1:] != r.end[:-1])) if len(r.end) else []
-        for s in starts:
+        get = lambda i: sets.get(file[i], at[i], int(size[i]))  # noqa: E731, B023
+        for s in np.flatnonzero(np.append(True, r.end[1:] != r.end[:-1])).tolist():
             e = int(r.end[s])
-            if e - s < 2:
-                continue
-            own = comp[s:e]
-            ids, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
+            ids, group, counts = np.unique(comp[s:e], return_inverse=True, return_counts=True)
             if len(ids) < 2:
                 continue
+            most = int(counts.argmax())
             # Everything outside the largest component meets everything of the region.
-            for x in np.flatnonzero(inverse != counts.argmax()).tolist():
-                other = np.flatnonzero((inverse != inverse[x]) & ((inverse == counts.argmax()) | (np.arange(e - s) > x)))
-                c = (r.sketch[s + other] == r.sketch[s + x]).mean(axis=1)
-                other = other[c >= HOPE]
-                out_a.append(np.full(len(other), r.rep[s + x]))
-                out_b.append(r.rep[s + other])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
+            for x in np.flatnonzero(group != most).tolist():
+                other = np.flatnonzero((group != group[x]) & ((group == most) | (np.arange(e - s) > x)))
+                a, b = size[s + x], size[s + other]
+                other = other[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
+                close = (r.sketch[s + other] == r.sketch[s + x]).mean(axis=1)
+                for y in other[np.argsort(-close, kind="stable")][: int((close >= HOPE).sum())].tolist():
+                    if group[x] != group[y] and similar(get(s + x), get(s + y), percent):
+                        out_a.append(r.rep[s + x])
+                        out_b.append(r.rep[s + y])
+                        # What x's component had meets no more than what y's did: they are one now.
+                        group[group == group[x]] = group[y]
+        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
@@ -252,11 +294,11 @@ def orders(classes: DataFrame, *keep: str) -> DataFrame:
     return rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their full sets (rep, set)."""
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
+def confirmed(pairs: DataFrame, index: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Those of the pairs (a, b) that link, by their full sets."""
+    where = lambda x: index.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("file", "at", "size")])
+    both = pairs.join(where("a"), "a").join(where("b"), "b")
+    return both.mapInArrow(lambda it: _confirm(it, percent, folder), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -269,14 +311,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     paired = found.select(F.col("a").alias("rep")).unionByName(found.where("b IS NOT NULL").select(F.col("b").alias("rep"))).distinct()
     # Only classes that may have a partner need their sets.
     own = texts.join(paired.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = cut(own.mapInArrow(lambda it: _sets(it, k), "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    folder = work_dir(docs.sparkSession, "sets")
+    index = own.mapInArrow(lambda it: _sets(it, k, folder), "rep long, file string, at long, size long")
+    index = cut(cut(index, "written").dropDuplicates(["rep"]), "index")
     first = found.where("b IS NOT NULL").groupBy("a").agg(F.max_by("b", F.struct("close", "b")).alias("b"))
-    links = cut(confirmed(first, sets, percent), "links")
+    links = cut(confirmed(first, index, percent, folder), "links")
     known = cut(components(links), "components")
-    joined = classes.join(paired, "rep", "left_semi").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    joined = joined.select("rep", "sig", F.coalesce("component", "rep").alias("comp"))
-    more = cut(orders(joined, "comp").mapInArrow(_rest, "a long, b long").distinct(), "rest")
-    links = cut(links.unionByName(confirmed(more, sets, percent)), "all-links")
+    joined = classes.join(index, "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    joined = joined.select("rep", "sig", "file", "at", "size", F.coalesce("component", "rep").alias("comp"))
+    more = orders(joined, "comp", "file", "at", "size").mapInArrow(lambda it: _rest(it, percent, folder), "a long, b long")
+    links = links.unionByName(cut(more, "rest"))
     known = components(links).withColumnRenamed("node", "rep")
     named = classes.select("digest", "rep").join(known, "rep", "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
     out = thin.select("doc_id", "n", "digest").join(named, "digest", "left")
