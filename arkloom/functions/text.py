@@ -66,12 +66,14 @@ def plain_words(text: Column | str) -> Column:
 def ngrams(words: Column, n: int = 2, down_to: int | None = None, distinct: bool = False) -> Column:
     """Comma-joined runs of ``n`` words (and of fewer, down to ``down_to``); none if there are fewer words."""
 
-    def of(k: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), ","))
+    def of(w: Column, k: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), ","))
         # A sequence to a smaller bound would count down.
-        return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(w) >= k, runs).otherwise(F.array().cast("array<string>"))
 
-    out = of(n) if down_to is None else F.concat(*[of(k) for k in range(n, down_to - 1, -1)])
+    sizes = [n] if down_to is None else list(range(n, down_to - 1, -1))
+    # As a lambda's variable the words are computed once, not once an n-gram.
+    out = F.get(F.transform(F.array(words), lambda w: F.concat(*[of(w, k) for k in sizes])), 0)
     return F.array_distinct(out) if distinct else out
 
 

@@ -33,12 +33,12 @@ def smooth_ngrams(counts: DataFrame, probabilities: DataFrame, limit: int = -1,
 
     ``probabilities`` has one row a frequency (Good-Turing's tables are bounded), so it is broadcast.
     """
-    rows = counts.join(F.broadcast(probabilities), F.col("count") == F.col("freq")).select("probability", "words")
+    rows = counts.join(F.broadcast(probabilities), F.col("count") == F.col("freq"))
     if limit < 0:
-        return rows
+        return rows.select("probability", "words")
     order = F.desc("probability") if rank_col is None else F.desc(rank_col)
     per = Window.partitionBy(F.substring_index("words", ",", 1)).orderBy(order, "words")
-    return rows.withColumn("__rank", F.row_number().over(per)).where(F.col("__rank") <= limit).drop("__rank")
+    return rows.withColumn("__rank", F.row_number().over(per)).where(F.col("__rank") <= limit).select("probability", "words")
 
 
 def postings(docs: DataFrame, doc: str, text: str, stop: bool = True, url: bool = True, regex: str | None = None) -> DataFrame:
