@@ -1,8 +1,8 @@
 """Byte-level BPE by a minimal acyclic transducer over frequent words.
 
-Encoding takes two passes.  The first counts all words of all documents; the
-LEXICON most frequent are merged once, on the driver, and compiled to a minimal
-acyclic automaton in which words share prefixes and suffixes.  Its arcs add up to
+Encoding takes two passes.  The first counts all words of all documents; those that
+occur once in every 1 / SHARE bytes (so their number is bounded) are merged once, on
+the driver, and compiled to a minimal acyclic automaton in which words share prefixes and suffixes.  Its arcs add up to
 a word's number, and the number leads to the word's ids.  Automaton, merge table
 and token bytes are one file in the shared folder, which tasks map to memory.  In
 the second pass the words of a slice of texts are looked up in the automaton all
@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import mapped, save, work_dir
+from .store import cut, mapped, save, work_dir
 
-LEXICON = 1 << 16
+#: Words of the lexicon occur at least so often a byte; with their blanks they have two bytes, so at most 1 / (2 * SHARE) qualify.
+SHARE = 4e-7
 #: A word of more bytes is left to exact merging.
 LONGEST = 64
 SLICE = 2 << 20
@@ -227,13 +228,16 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of this task's words, more than once if they are many; (null, bytes) for its texts."""
     seen: Counter = Counter()
+    total = 0
 
     def told():
         w = [k for k in seen if k]
         return pa.RecordBatch.from_pydict({"word": pa.array(w, pa.string()), "n": pa.array([seen[k] for k in w], pa.int64())})
 
     for batch in batches:
+        total += batch.column(0).nbytes
         for _, texts in _texts(batch.column(0)):
             for t in texts:
                 words = t.split(" ")
@@ -242,13 +246,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield told()
                 seen.clear()
     yield told()
+    yield pa.RecordBatch.from_pydict({"word": pa.array([None], pa.string()), "n": pa.array([total], pa.int64())})
 
 
-def build(docs: DataFrame, path: str, lexicon: int = LEXICON) -> str:
-    """Counts the words of ``docs``, compiles the most frequent; returns the file's URI."""
+def build(docs: DataFrame, path: str, share: float = SHARE) -> str:
+    """Counts the words of ``docs``, compiles the frequent ones; returns the file's URI."""
     text = docs.select(F.col("text").cast("string").alias("text"))
     counts = text.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.octet_length("word") < LONGEST).orderBy(F.desc("n"), "word").limit(lexicon)
+    counts = cut(counts.where("n > 1 OR word IS NULL"), "words")
+    total = counts.where("word IS NULL").first()["n"]
+    top = counts.where((F.col("n") >= share * total) & (F.octet_length("word") < LONGEST))
     units = sorted({(" " + r["word"]) for r in top.select("word").toLocalIterator() if not r["word"][:1].isspace()}, key=str.encode)
     merges = Merges.load(path)
     ids = merges.ids(units)
