@@ -12,7 +12,7 @@ Defined results: vectors that are null or hold a null, NaN or infinity take no
 part, nor does a null id; a vector shorter than another counts as zero in what it
 lacks; rows with the query's own id are not its candidates; repeated query rows
 count once; fewer candidates than k are all returned; an empty table gives an
-empty result; other columns are ignored.  Weights must stay below 2**31.
+empty result; other columns are ignored.  Weights and scores are 64-bit integers.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ NONE = -(1 << 62)
 
 def quantised(rows: DataFrame, ident: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """(vec_id, w): floor(scale * x) of each component, of rows that take part."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(2**31 / scale)))
-    w = F.transform(vector, lambda x: F.floor(x.cast("double") * float(scale)).cast("int"))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    w = F.transform(vector, lambda x: F.floor(x.cast("double") * float(scale)).cast("long"))
     return rows.where(F.col(ident).isNotNull() & F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(ident).cast("long").alias("vec_id"), w.alias("w"))
 
 
