@@ -35,7 +35,7 @@ def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each size (at most ``counts``) come nearest to ``budget``.
 
     Bounded knapsack over sums, as bit sets: a bit of the integer says that a sum
-    can be made.  Sums may pass the budget by the smallest size at most.
+    can be made.  Sums may pass the budget by the largest size at most.
     """
     taken = [0] * len(sizes)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
@@ -47,7 +47,7 @@ def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     left = [(sizes[i], counts[i] - taken[i], i) for i in order if sizes[i] > 0 and counts[i] > taken[i]]
     if budget <= 0 or not left:
         return taken
-    top = budget + min(s for s, _, _ in left)
+    top = budget + max(s for s, _, _ in left)
     full = (1 << (top + 1)) - 1
     reach, layers = 1, []
     for s, n, i in left:
