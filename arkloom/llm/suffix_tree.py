@@ -11,9 +11,9 @@ an automaton whose state is the longest suffix retained, so texts are scored in
 many lanes at once, a table look-up a symbol.
 
 Beside it stands the base score, an add-one unigram model of words.  A word's
-probability in the model is even parts of what the tree gives to its bytes and of
-its unigram probability, which also is a smoothing of rare contexts; the unigram's
-share for unknown words goes to the tree.  Words that
+probability in the model is in parts, set by UNIGRAM, what the tree gives to its
+bytes and its unigram probability, which also is a smoothing of rare contexts; the
+unigram's share for unknown words goes to the tree.  Words that
 make up more than a set share of the training words are few whatever the input
 and are looked up in a table; the others are dealt by hash, counted where they
 meet, and their logarithms sent back to the block of texts that they came from.
@@ -48,8 +48,8 @@ END = 255
 COMMON = 1 / 400_000
 LANE = 1024
 HELD = 1 << 20
-#: The unigram's part in a word's probability.
-UNIGRAM = 0.5
+#: The unigram's part in a word's probability; of 0.1, 0.25, 0.5, 0.75 and 0.9 the first two did best on unseen texts.
+UNIGRAM = 0.2
 BLOCK_ROWS = 1 << 15
 
 
