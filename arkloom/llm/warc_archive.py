@@ -15,8 +15,8 @@ task; its length is bounded by ARCHIVE.
 
 Defined results: a null html is an empty payload; a null page_id is a record
 without page id, after all others in order; of repeated rows (same page_id and
-html) the first is the response and the others revisit it; an empty table gives
-an empty result; other columns are ignored.
+html, and if their URLs differ any of these) one is the response and the others
+revisit it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,19 +84,14 @@ def digest32(payload: bytes) -> str:
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, most: int, gzipped: bool) -> Iterator[pa.RecordBatch]:
     out, name, size, done = None, "", 0, []
-    last, first = None, False
     store = path = None
     for batch in batches:
         if store is None:
             store, path = open_store(folder)
             store.create_dir(path, recursive=True)
-        for page_id, url, html, response in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
+        for page_id, url, html, n, sha, refers, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "n", "sha", "first_id", "revisit")), strict=True):
             payload = (html or "").encode("utf-8", "surrogatepass")
-            digest = digest32(payload)
-            # Equal rows follow each other; only the first of those that could be the response is it.
-            first, last = (page_id, digest) != last, (page_id, digest)
-            revisit = not (first and page_id == response)
-            raw = record(page_id, url, payload, digest, len(payload), response, revisit)
+            raw = record(page_id, url, payload, base64.b32encode(bytes.fromhex(sha)).decode(), n, refers, revisit)
             if gzipped:
                 z = zlib.compressobj(4, zlib.DEFLATED, 31)
                 raw = z.compress(raw) + z.flush()
@@ -115,16 +110,30 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, most: int, gzipped: b
     yield pa.RecordBatch.from_pydict({"file": [n for n, _ in done], "bytes": [s for _, s in done]}, pa.schema([("file", pa.string()), ("bytes", pa.int64())]))
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive: int = ARCHIVE, gzipped: bool = True) -> DataFrame:
-    """Writes (page_id, url, html) below ``folder``; returns (file, bytes) of the archives."""
+def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, url, html, n, sha, first_id, revisit): what is to be written; html is null for revisits."""
     own = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    pages = pages.select("page_id", "url", own.alias("html"), F.sha1(own.cast("binary")).alias("sha"))
-    thin = pages.select("page_id", "sha", F.when(F.octet_length("html") >= min_bytes, F.lit(True)).alias("shared"))
-    firsts = thin.where("shared").groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    owned = thin.where("shared").select("page_id", "sha").distinct().join(firsts, "sha").select(F.col("page_id").alias("pid"), F.col("sha").alias("psha"), "first_id", F.lit(True).alias("known"))
+    pages = pages.select("page_id", "url", own.alias("html"), F.octet_length(own).cast("long").alias("n"), F.sha1(own.cast("binary")).alias("sha"))
+    # Repeated rows are counted here, so they need not meet below.
+    thin = pages.where(F.col("n") >= min_bytes).groupBy("page_id", "sha").agg(F.count(F.lit(1)).alias("copies"))
+    thin = cut(thin, "payloads")
+    firsts = thin.groupBy("sha").agg(F.min("page_id").alias("first_id"))
+    owned = thin.join(firsts, "sha").select(F.col("page_id").alias("pid"), F.col("sha").alias("psha"), "first_id", "copies")
     rows = pages.join(owned, pages["page_id"].eqNullSafe(owned["pid"]) & (pages["sha"] == owned["psha"]), "left")
-    rows = rows.select("page_id", "url", "html", F.when(F.col("known"), F.col("first_id")).otherwise(F.col("page_id")).alias("first_id"), "sha")
-    rows = rows.sortWithinPartitions("page_id", "sha").drop("sha")
+    rows = rows.select("page_id", "url", "html", "n", "sha", "first_id", F.coalesce("copies", F.lit(1)).alias("copies"), F.col("copies").isNotNull().alias("shared"))
+    first = F.col("page_id").eqNullSafe(F.col("first_id"))
+    once = rows.where("copies = 1").withColumn("i", F.lit(1))
+    if not thin.where("copies > 1").isEmpty():
+        names = ("url", "html", "n", "first_id", "copies", "shared")
+        many = rows.where("copies > 1").groupBy("page_id", "sha").agg(*[F.first(c).alias(c) for c in names])
+        once = once.unionByName(many.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+    revisit = F.col("shared") & ~(first & (F.col("i") == 1))
+    return once.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "n", "sha", "first_id", revisit.alias("revisit"))
+
+
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive: int = ARCHIVE, gzipped: bool = True) -> DataFrame:
+    """Writes (page_id, url, html) below ``folder``; returns (file, bytes) of the archives."""
+    rows = records(pages, min_bytes)
     return cut(rows.mapInArrow(lambda it: _write(it, folder, archive, gzipped), "file string, bytes long"), "archives")
 
 
