@@ -178,7 +178,9 @@ def told(spans: str) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind, as ``<EMAIL>``; ``n_chars`` follows the text."""
-    rows = with_spans(docs, patterns(docs))
+    names = docs.columns
+    aside = {c: f"__own_{c}" for c in ("base", "spans") if c in names}
+    rows = with_spans(docs.withColumnsRenamed(aside), patterns(docs))
 
     def step(a: Column, s: Column) -> Column:
         skip = s["start"] < a["at"]
@@ -191,4 +193,4 @@ def redact(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in names])

@@ -180,5 +180,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return docs.mapInArrow(lambda it: _scored(it, sent.value, threshold), schema)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that reach ``threshold``, with all their columns."""
+    aside = {c: f"__own_{c}" for c in ("score", "predicted") if c in docs.columns}
+    rows = score(docs.withColumnsRenamed(aside), model, threshold).where("predicted = 1")
+    return rows.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def remainder(ident: str, of: int) -> Column:
     return F.coalesce(F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary")) % of, F.lit(0))
