@@ -122,13 +122,6 @@ class WarcReader(DataSourceReader):
         self.files = files_of(options["path"])
         self.kinds: list[str] = []
 
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("warc_type",):
-                self.kinds.append(f.value)
-            else:
-                yield f
-
     def partitions(self):
         out = []
         for path in self.files:
@@ -162,6 +155,17 @@ class WarcReader(DataSourceReader):
                     yield r
 
 
+class PushingWarcReader(WarcReader):
+    """Takes in filters on the type; Spark lets a reader do so only where it is configured to."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("warc_type",):
+                self.kinds.append(f.value)
+            else:
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str | None
@@ -221,7 +225,8 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options)
+        pushing = str(self.options.get("pushFilters", "false")).lower() == "true"
+        return (PushingWarcReader if pushing else WarcReader)(self.options)
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options, schema, overwrite)
@@ -246,7 +251,8 @@ def read_warc(spark, path: str, **options):
     scheme = path.partition("://")[0] if "://" in path else ""
     if scheme in ("", "file"):
         spark.dataSource.register(WarcDataSource)
-        return spark.read.format("warc").options(**options).load(path)
+        pushing = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+        return spark.read.format("warc").options(**{"pushFilters": pushing} | options).load(path)
     content, mode = str(options.get("includeContent", "true")).lower() == "true", str(options.get("mode", "DROPREST")).upper()
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda it: _parse_files(it, content, mode), SCHEMA)
 

@@ -56,6 +56,18 @@ def test_source(spark, tmp_path, pack):
     assert warc.read_warc(spark, str(tmp_path), includeContent="false").where("content IS NULL").count() == 3
 
 
+def test_source_takes_in_filters_where_it_may(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(raw(*RECORDS))
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name, "false")
+    try:
+        spark.conf.set(name, "true")
+        df = warc.read_warc(spark, str(tmp_path)).where("warc_type = 'request'")
+        assert [r["warcRecordId"] for r in df.collect()] == ["<urn:2>"]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_sink_round_trip(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(raw(*RECORDS))
     df = warc.read_warc(spark, str(tmp_path / "a.warc"))
