@@ -4,8 +4,10 @@
    POSITIONS MinHash values.  Documents of equal sets are one class from here on.
 2. TREES sorted orders of the classes: an order's key is the signature from its own
    position on, so documents with a long common prefix are neighbours in it.  The
-   orders are range-partitioned, which splits a region of any size over tasks.
-3. A region is a run of equal prefixes of LEAST values.  In one of up to REGION
+   orders are range-partitioned.  A region is a run of equal prefixes of LEAST values.
+   One of up to CHUNK classes lies in one task; only larger ones, which are counted
+   and listed first, are spread over tasks.
+3. In a region of up to REGION
    classes all pairs are compared by signature; in a larger one the depth adapts:
    pairs with prefixes twice as long, in runs of up to REGION, and each class's
    NEAR next neighbours.  Each class keeps the best partner before it.
@@ -13,7 +15,9 @@
    read again with the components: whatever pair of different components shares a
    region is compared by signature and, if it may link, confirmed in the task that
    holds the region.  Only pairs within one component are never confirmed, as they
-   change nothing, and only links that join components are handed on.
+   change nothing, and only links that join components are handed on.  A region of
+   more than CHUNK classes is dealt to blocks in files of the shared folder, those of
+   its largest component apart; each block of the others meets each block.
 
 Full sets lie in files of the shared folder, and tasks read those they need by
 offset; neither sets nor pairs are joined.  Thus large groups of copies cost rows in
@@ -48,6 +52,7 @@ NEAR = 3
 #: Share of equal signature values from which a pair may link; at a similarity of 0.8 this is four deviations down.
 HOPE = 0.6
 CHUNK = 8192
+BLOCK = 4096
 
 _odd = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _plus = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -193,7 +198,7 @@ class Region:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows in pieces that end with a region, or after CHUNK rows of one region."""
+    """Rows in pieces that end with a region; only an oversized one is cut, after CHUNK rows."""
     have: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -226,7 +231,7 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(r.rep)
         i = np.flatnonzero(r.size > 1)
         best, partner = np.zeros(n), np.full(n, -1)
-        seen = r.size > REGION
+        seen = (r.size > REGION) | rows.column("big").to_numpy()
         step = 1
         while len(i):
             i = i[i + step < r.end[i]]
@@ -252,6 +257,34 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate((best[got], np.zeros(len(alone)))))], ["a", "b", "close"])
 
 
+def _equal(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Number of equal sketch bytes of each row and one."""
+    same = (rows == one).view(np.uint64)
+    total = same[:, 0].copy()
+    for i in range(1, POSITIONS // 8):
+        total += same[:, i]
+    return ((total * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
+def _joins(x: int, other: np.ndarray, group: np.ndarray, most: int, size: np.ndarray, sketch: np.ndarray, get, percent: int) -> Iterator[int]:
+    """Rows of ``other`` by which row x joins components it wasn't of; ``group`` follows."""
+    other = other[group[other] != group[x]]
+    a, b = size[x], size[other]
+    other = other[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
+    close = _equal(sketch[other], sketch[x])
+    for y in other[np.argsort(-close, kind="stable")][: int((close >= HOPE * POSITIONS).sum())].tolist():
+        if group[x] != group[y] and similar(get(x), get(y), percent):
+            yield y
+            # What x's component had meets no more than what y's did: they are one now.
+            group[group == group[x]] = group[y]
+
+
+def _links(rep: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(pairs, np.int64).reshape(-1, 2)
+    a, b = rep[at[:, 0]], rep[at[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def _rest(batches: Iterator[pa.RecordBatch], percent: int, folder: str) -> Iterator[pa.RecordBatch]:
     """(a, b): confirmed links between classes of a region whose components nothing in this task had joined."""
     sets = Sets(folder)
@@ -259,39 +292,130 @@ def _rest(batches: Iterator[pa.RecordBatch], percent: int, folder: str) -> Itera
         r = Region(_tight(rows))
         comp, size = rows.column("comp").to_numpy(), rows.column("size").to_numpy()
         file, at = rows.column("file").to_pylist(), rows.column("at").to_pylist()
-        out_a, out_b = [], []
-        get = lambda i: sets.get(file[i], at[i], int(size[i]))  # noqa: E731, B023
+        out = []
         for s in np.flatnonzero(np.append(True, r.end[1:] != r.end[:-1])).tolist():
             e = int(r.end[s])
             ids, group, counts = np.unique(comp[s:e], return_inverse=True, return_counts=True)
             if len(ids) < 2:
                 continue
             most = int(counts.argmax())
+            get = lambda i: sets.get(file[s + i], at[s + i], int(size[s + i]))  # noqa: E731, B023
             # Everything outside the largest component meets everything of the region.
             for x in np.flatnonzero(group != most).tolist():
-                other = np.flatnonzero((group != group[x]) & ((group == most) | (np.arange(e - s) > x)))
-                a, b = size[s + x], size[s + other]
-                other = other[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
-                close = (r.sketch[s + other] == r.sketch[s + x]).mean(axis=1)
-                for y in other[np.argsort(-close, kind="stable")][: int((close >= HOPE).sum())].tolist():
-                    if group[x] != group[y] and similar(get(s + x), get(s + y), percent):
-                        out_a.append(r.rep[s + x])
-                        out_b.append(r.rep[s + y])
-                        # What x's component had meets no more than what y's did: they are one now.
-                        group[group == group[x]] = group[y]
-        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def orders(classes: DataFrame, *keep: str) -> DataFrame:
-    """TREES rows of (tree, key, rep, sketch) a class, in the sorted order of tree and key."""
+                other = np.flatnonzero((group == most) | (np.arange(e - s) > x))
+                out += [(s + x, s + y) for y in _joins(x, other, group, most, size[s:e], r.sketch[s:e], get, percent)]
+        yield _links(r.rep, out)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes each run of equal (tree, prefix, block) to a file of this task; rows say where."""
+    store, path = open_store(folder)
+    store.create_dir(path, recursive=True)
+    name, out, at = uuid.uuid4().hex[:16], None, 0
+    have: list[pa.RecordBatch] = []
+
+    def told(run: pa.Table) -> pa.RecordBatch:
+        nonlocal out, at
+        if out is None:
+            out = store.open_output_stream(f"{path}/{name}", compression=None)
+        sink = pa.BufferOutputStream()
+        body = run.select(["rep", "comp", "sketch", "file", "at", "size"])
+        with pa.ipc.new_stream(sink, body.schema) as writer:
+            writer.write_table(body)
+        raw = sink.getvalue()
+        out.write(raw)
+        at += raw.size
+        ids = [run.column(c).slice(0, 1).combine_chunks() for c in ("tree", "prefix", "block")]
+        return pa.RecordBatch.from_arrays([*ids, pa.array([name]), pa.array([at - raw.size], pa.int64()), pa.array([raw.size], pa.int64())], ["tree", "prefix", "block", "file", "at", "size"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        have.append(batch)
+        rows = pa.Table.from_batches(have)
+        ids = list(zip(*(rows.column(c).to_pylist() for c in ("tree", "prefix", "block")), strict=True))
+        edge = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])]
+        for s, e in zip(edge, edge[1:], strict=False):
+            yield told(rows.slice(s, e - s))
+        have = rows.slice(edge[-1]).to_batches()
+    if have:
+        yield told(pa.Table.from_batches(have))
+    if out is not None:
+        out.close()
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int, blocks: str, folder: str) -> Iterator[pa.RecordBatch]:
+    """(a, b): confirmed links between the classes of two blocks, or of one."""
+    sets = Sets(folder)
+    store, path = open_store(blocks)
+
+    def read(file: str, at: int, size: int) -> pa.Table:
+        with store.open_input_file(f"{path}/{file}") as f:
+            return pa.ipc.open_stream(f.read_at(size, at)).read_all()
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            first = read(r["file_i"], r["at_i"], r["size_i"])
+            n = first.num_rows
+            alone = r["i"] == r["j"]
+            rows = (first if alone else pa.concat_tables([first, read(r["file_j"], r["at_j"], r["size_j"])])).combine_chunks()
+            rep, size = rows.column("rep").to_numpy(), rows.column("size").to_numpy()
+            file, at = rows.column("file").to_pylist(), rows.column("at").to_pylist()
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            ids, group = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
+            most = int(np.searchsorted(ids, r["most"])) if r["most"] in ids else -1
+            get = lambda i: sets.get(file[i], at[i], int(size[i]))  # noqa: E731, B023
+            out = []
+            for x in range(n):
+                other = np.arange(x + 1 if alone else n, len(rep))
+                out += [(x, y) for y in _joins(x, other, group, most, size, sketch, get, percent)]
+            yield _links(rep, out)
+
+
+def placed(classes: DataFrame, *keep: str) -> DataFrame:
+    """TREES rows of (tree, prefix, key, rep, sketch) a class; regions are of equal tree and prefix."""
     twice = F.concat("sig", "sig")
     sketch = F.expr(f"unhex(array_join(transform(sequence(1, {POSITIONS}), i -> substring(hex(sig), 4 * i - 1, 2)), ''))")
     rows = classes.select("rep", "sig", sketch.alias("sketch"), *keep)
     rows = rows.select("rep", "sketch", *keep, twice.alias("twice"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    key = F.substring("twice", F.col("tree") * (2 * LEAST) + 1, F.lit(4 * LEAST))
-    rows = rows.select("tree", key.alias("key"), "rep", "sketch", *keep)
-    return rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
+    key = lambda n: F.substring("twice", F.col("tree") * (2 * LEAST) + 1, F.lit(n))
+    return rows.select("tree", key(2 * LEAST).alias("prefix"), key(4 * LEAST).alias("key"), "rep", "sketch", *keep)
+
+
+def oversized(classes: DataFrame) -> DataFrame:
+    """(tree, prefix) of the regions of more than CHUNK classes, at most TREES / CHUNK a class."""
+    return placed(classes).groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("tree", "prefix")
+
+
+def orders(classes: DataFrame, big: DataFrame) -> DataFrame:
+    """The rows of ``placed`` in sorted order; only regions of ``big`` are spread over partitions."""
+    rows = placed(classes).join(F.broadcast(big.withColumn("big", F.lit(True))), ["tree", "prefix"], "left")
+    rows = rows.withColumn("big", F.coalesce("big", F.lit(False)))
+    spread = [F.when(F.col("big"), F.col(c)) for c in ("key", "rep")]
+    return rows.repartitionByRange("tree", "prefix", *spread).sortWithinPartitions("tree", "key", "rep")
+
+
+def across(classes: DataFrame, big: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Links (a, b) between components of the regions of ``big``, each compared as a whole by pairs of blocks."""
+    spark = classes.sparkSession
+    rows = placed(classes, "comp", "file", "at", "size").join(F.broadcast(big), ["tree", "prefix"])
+    held = rows.groupBy("tree", "prefix", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max_by("comp", F.struct("n", "comp"))
+    split = held.groupBy("tree", "prefix").agg(most.alias("most"), F.max("n").alias("inner"), F.sum("n").alias("n")).where("n > inner")
+    up = lambda n: F.ceil(n / BLOCK).cast("long")
+    split = cut(split.select("tree", "prefix", "most", up(F.col("n") - F.col("inner")).alias("n_outer"), up(F.col("inner")).alias("n_inner")), "split")
+    pairs = split.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_outer") - 1)).alias("i"))
+    pairs = pairs.select("tree", "prefix", "most", "i", F.explode(F.sequence("i", F.col("n_outer") + F.col("n_inner") - 1)).alias("j"))
+    dealt = F.when(F.col("comp") == F.col("most"), F.col("n_outer") + F.pmod(F.xxhash64("rep"), "n_inner")).otherwise(F.pmod(F.xxhash64("rep"), "n_outer"))
+    rows = rows.join(F.broadcast(split), ["tree", "prefix"]).withColumn("block", dealt).select("tree", "prefix", "block", "rep", "comp", "sketch", "file", "at", "size")
+    blocks = work_dir(spark, "blocks")
+    rows = rows.repartition("tree", "prefix", "block").sortWithinPartitions("tree", "prefix", "block")
+    index = cut(rows.mapInArrow(lambda it: _blocks(it, blocks), "tree int, prefix binary, block long, file string, at long, size long"), "blocks")
+    where = lambda x: index.select("tree", "prefix", F.col("block").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("file", "at", "size")])
+    pairs = cut(pairs.join(where("i"), ["tree", "prefix", "i"]).join(where("j"), ["tree", "prefix", "j"]), "pairs")
+    # Rows are few and each is much work: as many tasks as there are, within bounds, which Spark then doesn't unite.
+    tasks = max(1, min(pairs.count(), 8 * spark.sparkContext.defaultParallelism + 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return pairs.repartition(tasks, "tree", "prefix", "i", "j").mapInArrow(lambda it: _meet(it, percent, blocks, folder), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, index: DataFrame, percent: int, folder: str) -> DataFrame:
@@ -307,7 +431,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     thin = cut(texts.mapInArrow(lambda it: _sketch(it, k), "doc_id long, n long, digest binary, sig binary"), "sketches")
     classes = thin.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = cut(classes, "classes")
-    found = cut(orders(classes).mapInArrow(_partners, "a long, b long, close double"), "partners")
+    big = cut(oversized(classes), "oversized")
+    found = cut(orders(classes, big).mapInArrow(_partners, "a long, b long, close double"), "partners")
     paired = found.select(F.col("a").alias("rep")).unionByName(found.where("b IS NOT NULL").select(F.col("b").alias("rep"))).distinct()
     # Only classes that may have a partner need their sets.
     own = texts.join(paired.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
@@ -319,8 +444,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     known = cut(components(links), "components")
     joined = classes.join(index, "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     joined = joined.select("rep", "sig", "file", "at", "size", F.coalesce("component", "rep").alias("comp"))
-    more = orders(joined, "comp", "file", "at", "size").mapInArrow(lambda it: _rest(it, percent, folder), "a long, b long")
-    links = links.unionByName(cut(more, "rest"))
+    some = not big.isEmpty()
+    joined = cut(joined, "joined") if some else joined
+    whole = placed(joined, "comp", "file", "at", "size").join(F.broadcast(big), ["tree", "prefix"], "left_anti")
+    whole = whole.repartitionByRange("tree", "prefix").sortWithinPartitions("tree", "key", "rep")
+    links = links.unionByName(cut(whole.mapInArrow(lambda it: _rest(it, percent, folder), "a long, b long"), "rest"))
+    if some:
+        links = links.unionByName(cut(across(joined, big, percent, folder), "across"))
     known = components(links).withColumnRenamed("node", "rep")
     named = classes.select("digest", "rep").join(known, "rep", "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
     out = thin.select("doc_id", "n", "digest").join(named, "digest", "left")

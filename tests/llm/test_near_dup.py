@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from arkloom.llm import near_dup, queries
@@ -92,3 +94,65 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (300, 300)] + [(1000, 1000 + i) for i in range(1, 200)]
     out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(51)) and out[200] == out[150] == 100 and all(out[1000 + i] == 1000 for i in range(200))
+
+
+def test_a_region_of_more_than_a_chunk_is_compared_as_a_whole(spark):
+    """11500 texts of four common words, which make one region; planted pairs share no other and lie far apart in it."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def sketched(texts):
+        raw = [t.encode() for t in texts]
+        return list(near_dup.shingles(*near_dup.words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))), 1))
+
+    pool = fresh(300000)
+    v = np.concatenate(sketched(pool))
+    least = lambda sets, k: ((sets * near_dup._odd[k] + near_dup._plus[k]) >> np.uint64(32)).astype(np.uint32)
+    core = [int(least(v, k).argmin()) for k in range(near_dup.LEAST)]
+    texts = [" ".join([pool[i] for i in core] + fresh(16)) for _ in range(11500)]
+    top = np.sort(near_dup.signature(sketched(texts))[:, near_dup.LEAST])
+    gen, planted = np.random.default_rng(5), []
+    for _ in range(6):
+        a = np.concatenate((np.tile(core, (300000, 1)), gen.integers(0, len(pool), (300000, 16))), axis=1)
+        b = np.concatenate((a[:, :-2], gen.integers(0, len(pool), (300000, 2))), axis=1)
+        next_a, next_b = (least(v[x], near_dup.LEAST).min(axis=1).astype(np.uint16) for x in (a, b))
+        far = (next_a > top[10700]) & (next_b < top[9500])
+        a, b = a[far], b[far]
+        same = near_dup.signature(list(v[a])) == near_dup.signature(list(v[b]))
+        others = same.reshape(len(a), near_dup.TREES, near_dup.LEAST)[:, 1:].all(axis=2).any(axis=1)
+        good = np.flatnonzero(~others & (same.mean(axis=1) > 0.62))
+        planted += [(" ".join(pool[i] for i in x), " ".join(pool[i] for i in y)) for x, y in zip(a[good].tolist(), b[good].tolist(), strict=True)]
+    assert len(planted) > 3
+    rows = list(enumerate(texts)) + [(20000 + 2 * i + j, x) for i, p in enumerate(planted) for j, x in enumerate(p)]
+    out = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 1).collect()}
+    assert [out[20001 + 2 * i] for i in range(len(planted))] == [20000 + 2 * i for i in range(len(planted))]
+    assert sum(out[i] != i for i in out) == len(planted)
+
+
+def test_texts_of_one_template_in_oversized_regions(spark, monkeypatch):
+    """Texts of one template that don't link but for planted pairs; a region of more than 60 classes goes to blocks of 40."""
+    monkeypatch.setattr(near_dup, "CHUNK", 60)
+    monkeypatch.setattr(near_dup, "BLOCK", 40, raising=False)
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    core = fresh(61)
+    rows = [(i, " ".join(core + fresh(16))) for i in range(300)]
+    for i in range(100):
+        own = fresh(16)
+        rows += [(1000 + 2 * i, " ".join(core + own)), (1001 + 2 * i, " ".join(core + own[:8] + fresh(8)))]
+    assert similarity(rows[0][1], rows[1][1]) < 0.8 <= similarity(rows[-2][1], rows[-1][1])
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert got(near_dup.near_duplicates(df, 2)) == brute(rows, 2)
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+
+
+def similarity(a, b):
+    a, b = shingles(a, 2), shingles(b, 2)
+    return len(a & b) / len(a | b)
