@@ -275,8 +275,10 @@ def _joins(x: int, other: np.ndarray, group: np.ndarray, most: int, size: np.nda
     for y in other[np.argsort(-close, kind="stable")][: int((close >= HOPE * POSITIONS).sum())].tolist():
         if group[x] != group[y] and similar(get(x), get(y), percent):
             yield y
-            # What x's component had meets no more than what y's did: they are one now.
-            group[group == group[x]] = group[y]
+            # What x's component had meets no more than what y's did: they are one now.  The
+            # largest keeps its number, by which later rows find its members.
+            gone, stay = (group[y], group[x]) if group[x] == most else (group[x], group[y])
+            group[group == gone] = stay
 
 
 def _links(rep: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
