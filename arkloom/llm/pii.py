@@ -138,17 +138,18 @@ def patterns(docs: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seeds: i
     seen = seen.where(F.col("c.kind").isNotNull() | ~F.col("c.taken"))
     edges = seen.select(F.explode("c.patterns").alias("pattern"), F.xxhash64("c.m").alias("instance"), "c.kind")
     edges = cut(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n")), "edges")
-    # A pattern without a seed gains no confidence in the first round and is left to later ones.
-    belief = edges.where("kind IS NOT NULL").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
+    # A pattern without enough seeds gains no confidence in the first round and is left to later
+    # ones, which count instances of high belief like seeds.
+    seed = cut(edges.where("kind IS NOT NULL").select("instance", "kind", F.lit(1.0).alias("belief")).distinct(), "seeds")
+    belief = seed
     seeded = belief.groupBy("kind").agg(F.count(F.lit(1)).alias("seeds"))
     trust = None
     for _ in range(rounds):
         size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-        held = edges.select("pattern", "instance").join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("held"), F.sum((F.col("belief") == 1).cast("int")).alias("own"))
+        held = edges.select("pattern", "instance").join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("held"), F.sum((F.col("belief") >= sure).cast("int")).alias("own"))
         trust = cut(held.join(size, "pattern").where(F.col("own") >= seeds).select("pattern", "kind", "own", (F.col("held") / (F.col("size") + 1)).alias("trust")), "trust")
-        told = edges.select("pattern", "instance", F.col("kind").alias("known")).join(trust, "pattern")
-        told = told.groupBy("instance", "kind", "known").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("belief"))
-        belief = told.select("instance", "kind", F.when(F.col("known") == F.col("kind"), 1.0).when(F.col("known").isNotNull(), 0.0).otherwise(F.col("belief")).alias("belief"))
+        told = edges.select("pattern", "instance").join(seed, "instance", "left_anti").join(trust, "pattern").groupBy("instance", "kind")
+        belief = seed.unionByName(told.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("belief")))
     # At most 2 / share patterns a kind pass, whatever the input.
     good = trust.join(F.broadcast(seeded), "kind").where((F.col("trust") >= sure) & (F.col("own") >= share * F.col("seeds")))
     best: dict[str, tuple] = {}

@@ -68,6 +68,18 @@ def test_contexts_find_what_the_patterns_lack(spark):
     assert clean[100] == "Reach me by phone at <PHONE> or so." and clean[0].count("<EMAIL>") == 1 and clean[103] == new[3][1]
 
 
+def test_found_instances_make_further_patterns(spark):
+    """Numbers without + stand behind a seeded label and again behind another, which has no seed."""
+    rows = [f"Reach me by phone at +1 212 555 {1000 + i} or so." for i in range(60)]
+    rows += [f"Reach me by phone at 212-555-{2000 + i} or so." for i in range(8)] + [f"Sent a fax to 212-555-{2000 + i} again." for i in range(8)]
+    rows += ["Sent a fax to 212-555-7777 again.", "Room 17 of 2020-11-30 is free."]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = pii.patterns(docs)
+    assert found.get("phone at") == "phone" and found.get("fax to") == "phone"
+    got = {r["doc_id"]: r["spans"] for r in pii.with_spans(docs, found).select("doc_id", pii.told("spans").alias("spans")).collect()}
+    assert got[len(rows) - 2] == "phone:14:26" and got[len(rows) - 1] == ""
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = pii.with_spans(odd_docs, pii.patterns(odd_docs)).collect()
     assert len(rows) == odd_docs.count() and all(r["spans"] == [] for r in rows)
