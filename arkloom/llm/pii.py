@@ -9,13 +9,13 @@ Bootstrapping: identifier-like strings are candidates, and the one or two words
 before them are their patterns.  Candidates that are base spans are the seeds.  On
 the graph of patterns and instances a pattern's confidence in a kind is the mean
 belief in its instances, an instance's belief joins the confidence of its patterns,
-and so on for ROUNDS rounds.  Patterns of high confidence that make up at least
-SHARE of their kind's seeds (so their number is bounded: 2 / SHARE a kind) then
-mark further candidates, provided these have a form that goes with the kind.
+and so on for ROUNDS rounds.  All patterns of high confidence then mark further
+candidates, provided these have a form that goes with the kind.
 
 Rows of (pattern, instance, kind, count) are summed before they are shuffled, so a
-pattern that a third of all candidates share is one row a task.  Texts are never
-shuffled: the patterns found are constants of the second pass.
+pattern that a third of all candidates share is one row a task.  The patterns found
+are a table of any size, joined to the candidates of distinct texts; what they mark
+comes back to the texts by digest, in SALT parts, so that a common text is not one task's.
 
 Defined results: a null text is empty; empty texts have no spans; a null doc_id
 and repeated rows are rows like others; spans of different kinds may overlap, and
@@ -52,7 +52,7 @@ FORM = {
 ROUNDS = 3
 SURE = 0.8
 SEEDS = 5
-SHARE = 1e-3
+SALT = 8
 
 
 def luhn(m: Column) -> Column:
@@ -132,8 +132,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.drop("base", "spans").withColumn("__text", text).withColumn("base", base_spans(F.col("__text")))
 
 
-def patterns(docs: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seeds: int = SEEDS, share: float = SHARE) -> dict[str, str]:
-    """Kind of each pattern that the graph of patterns and instances is sure of."""
+def pattern_table(docs: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seeds: int = SEEDS) -> DataFrame:
+    """(pattern, known): the kind of each pattern that the graph of patterns and instances is sure of."""
     seen = _rows(docs.select("text")).where(F.col("__text").rlike("[0-9@]")).select(F.explode(candidates(F.col("__text"), F.col("base"))).alias("c"))
     seen = seen.where(F.col("c.kind").isNotNull() | ~F.col("c.taken"))
     edges = seen.select(F.explode("c.patterns").alias("pattern"), F.xxhash64("c.m").alias("instance"), "c.kind")
@@ -142,7 +142,6 @@ def patterns(docs: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seeds: i
     # ones, which count instances of high belief like seeds.
     seed = cut(edges.where("kind IS NOT NULL").select("instance", "kind", F.lit(1.0).alias("belief")).distinct(), "seeds")
     belief = seed
-    seeded = belief.groupBy("kind").agg(F.count(F.lit(1)).alias("seeds"))
     trust = None
     for _ in range(rounds):
         size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
@@ -150,27 +149,38 @@ def patterns(docs: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seeds: i
         trust = cut(held.join(size, "pattern").where(F.col("own") >= seeds).select("pattern", "kind", "own", (F.col("held") / (F.col("size") + 1)).alias("trust")), "trust")
         told = edges.select("pattern", "instance").join(seed, "instance", "left_anti").join(trust, "pattern").groupBy("instance", "kind")
         belief = seed.unionByName(told.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("belief")))
-    # At most 2 / share patterns a kind pass, whatever the input.
-    good = trust.join(F.broadcast(seeded), "kind").where((F.col("trust") >= sure) & (F.col("own") >= share * F.col("seeds")))
-    best: dict[str, tuple] = {}
-    for r in good.toLocalIterator():
-        best[r["pattern"]] = max(best.get(r["pattern"], (0.0, "")), (r["trust"], r["kind"]))
-    return {p: kind for p, (_, kind) in sorted(best.items())}
+    good = trust.where(F.col("trust") >= sure)
+    return cut(good.groupBy("pattern").agg(F.max_by("kind", F.struct("trust", "kind")).alias("known")), "patterns")
 
 
-def with_spans(docs: DataFrame, found: dict[str, str]) -> DataFrame:
+def patterns(docs: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seeds: int = SEEDS) -> dict[str, str]:
+    """``pattern_table`` as a dictionary, for small inputs."""
+    return {r["pattern"]: r["known"] for r in pattern_table(docs, rounds, sure, seeds).orderBy("pattern").toLocalIterator()}
+
+
+def with_spans(docs: DataFrame, found: DataFrame | dict[str, str]) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: structs of start, order, end, kind, by start and kind."""
     rows = _rows(docs)
-    if not found:
-        return rows.withColumn("spans", F.col("base")).drop("__text")
-    known = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])
-    kind = lambda c: F.coalesce(F.get(F.filter(F.transform(F.reverse(c["patterns"]), lambda p: F.try_element_at(known, p)), lambda k: k.isNotNull()), 0), F.lit(""))
-    formed = lambda c: F.coalesce(*[F.when((c["k"] == k) & c["m"].rlike(FORM[k]), True) for k in KINDS], F.lit(False))
-    more = F.filter(candidates(F.col("__text"), F.col("base")), lambda c: ~c["taken"])
-    more = F.transform(more, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["m"].alias("m"), kind(c).alias("k")))
+    if isinstance(found, dict):
+        if not found:
+            return rows.withColumn("spans", F.col("base")).drop("__text")
+        found = docs.sparkSession.createDataFrame(list(found.items()), "pattern string, known string")
+    digest = F.sha2("__text", 256).alias("__digest")
+    own = _rows(docs.select("text")).where(F.col("__text").rlike("[0-9@]"))
+    own = own.select(digest, F.explode(F.filter(candidates(F.col("__text"), F.col("base")), lambda c: ~c["taken"])).alias("c"))
+    own = own.select("__digest", "c.start", "c.end", "c.m", "c.patterns").distinct()
+    own = own.select("__digest", "start", "end", "m", F.posexplode("patterns").alias("at", "pattern")).join(found, "pattern")
+    # The longest pattern says the kind.
+    marked = own.groupBy("__digest", "start", "end", "m").agg(F.max_by("known", "at").alias("k"))
+    formed = F.coalesce(*[F.when((F.col("k") == k) & F.col("m").rlike(FORM[k]), True) for k in KINDS], F.lit(False))
     order = lambda k: F.coalesce(*[F.when(k == x, F.lit(i)) for i, x in enumerate(KINDS)], F.lit(9))
-    more = F.transform(F.filter(more, formed), lambda c: F.struct(c["start"].alias("start"), order(c["k"]).alias("order"), c["end"].alias("end"), c["k"].alias("kind")))
-    return rows.withColumn("spans", F.when(F.col("__text").rlike("[0-9@]"), F.sort_array(F.concat("base", more))).otherwise(F.col("base"))).drop("__text")
+    span = F.struct("start", order(F.col("k")).alias("order"), "end", F.col("k").alias("kind"))
+    more = marked.where(formed).groupBy("__digest").agg(F.collect_list(span).alias("__more"))
+    more = cut(more, "marked").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    rows = rows.withColumn("__digest", F.sha2("__text", 256)).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT).cast("long")))
+    rows = rows.join(more, ["__digest", "__salt"], "left")
+    spans = F.when(F.col("__more").isNotNull(), F.sort_array(F.concat("base", "__more"))).otherwise(F.col("base"))
+    return rows.withColumn("spans", spans).drop("__text", "__digest", "__salt", "__more")
 
 
 def told(spans: str) -> Column:
@@ -181,7 +191,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind, as ``<EMAIL>``; ``n_chars`` follows the text."""
     names = docs.columns
     aside = {c: f"__own_{c}" for c in ("base", "spans") if c in names}
-    rows = with_spans(docs.withColumnsRenamed(aside), patterns(docs))
+    rows = with_spans(docs.withColumnsRenamed(aside), pattern_table(docs))
 
     def step(a: Column, s: Column) -> Column:
         skip = s["start"] < a["at"]

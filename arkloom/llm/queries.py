@@ -155,10 +155,10 @@ query(op4_suffix_tree)
 
 
 def op2_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import KINDS, patterns, told, with_spans
+    from .pii import KINDS, pattern_table, told, with_spans
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = with_spans(docs, patterns(docs))
+    rows = with_spans(docs, pattern_table(docs))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))

@@ -80,6 +80,14 @@ def test_found_instances_make_further_patterns(spark):
     assert got[len(rows) - 2] == "phone:14:26" and got[len(rows) - 1] == ""
 
 
+def test_a_sure_pattern_of_a_small_share_is_used(spark):
+    rows = [f"Reach me by phone at +1 212 {1000000 + i} or so." for i in range(7000)]
+    rows += [f"My desk line +1 212 {2000000 + i} rings." for i in range(6)] + ["My desk line 212-555-7777 rings."]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert pii.patterns(docs).get("desk line") == "phone"
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}[len(rows) - 1] == "My desk line <PHONE> rings."
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = pii.with_spans(odd_docs, pii.patterns(odd_docs)).collect()
     assert len(rows) == odd_docs.count() and all(r["spans"] == [] for r in rows)
