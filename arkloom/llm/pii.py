@@ -115,7 +115,7 @@ def candidates(text: Column, base: Column) -> Column:
     """Identifier-like strings with the kind of the base span that holds them, if any, and whether one overlaps."""
     inside = lambda x, b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])
     return F.transform(
-        F.filter(located(text, CANDIDATE, "[0-9][^a-z]{4}[0-9]|@"), lambda x: F.length(x["m"]) >= 6),
+        F.filter(located(text, CANDIDATE, r"[0-9][0-9().\x20-]{4,}|@"), lambda x: F.length(x["m"]) >= 6),
         lambda x: F.struct(
             x["start"].alias("start"),
             x["end"].alias("end"),

@@ -88,6 +88,13 @@ def test_a_sure_pattern_of_a_small_share_is_used(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}[len(rows) - 1] == "My desk line <PHONE> rings."
 
 
+def test_candidates_of_digits_at_every_second_place(spark):
+    texts = ["call 5-5-5-1-2-3-4 now", "card 2 1 2 5 5 5 0 1 9 9"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(pii.candidates(F.col("text"), pii.base_spans(F.col("text"))).alias("c")).collect()
+    assert [[c["m"] for c in r["c"]] for r in rows] == [["5-5-5-1-2-3-4"], ["2 1 2 5 5 5 0 1 9 9"]]
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = pii.with_spans(odd_docs, pii.patterns(odd_docs)).collect()
     assert len(rows) == odd_docs.count() and all(r["spans"] == [] for r in rows)
