@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, drop
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,11 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
+        drop(e)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+        drop(large)
         after = _state(e)
         if after == before:
             break
         before = after
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    out = cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
+    drop(e)
+    return out

@@ -3,18 +3,32 @@
 All of it goes to the folder that the cluster names in ``spark.checkpoint.dir``,
 which the driver and every executor share.  Only a local session that names none
 gets a temporary folder of this machine.
+
+Results are lazy and read these files, so an operator deletes only what its own
+later steps have replaced.  The rest is the caller's to delete with ``sweep``, once
+the results are written.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import json
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+BATCH = 2000
 _local: dict[str, str] = {}
+#: Folders of this session that ``sweep`` may delete, and those of tables of ``cut``.
+_made: dict[str, None] = {}
+_held: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,20 +45,80 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local[app]}"
 
 
+def lean(f):
+    """For generators that run in Python workers: frees the memory they leave, since idle workers stay."""
+
+    @functools.wraps(f)
+    def run(*args, **more):
+        try:
+            yield from f(*args, **more)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+def modest(spark: SparkSession) -> None:
+    """Lets rows go to Python in batches of at most BATCH, so that memory on both sides is small; fewer stay fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder of its own below the shared one (not yet created)."""
-    return f"{shared_root(spark)}/arkloom/{name}-{uuid.uuid4().hex}"
+    modest(spark)
+    path = f"{shared_root(spark)}/arkloom/{name}-{uuid.uuid4().hex}"
+    _made[path] = None
+    return path
+
+
+def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """Thin rows, to be broadcast if there are at most ``most``; Spark chooses the join for more."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made.pop(path, None)
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
+
+def path_of(table: DataFrame) -> str:
+    """Where a table of ``cut`` lies."""
+    return _held[table]
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, _held.pop(df))
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what this session's operators have written to the shared folder, but for tables to keep.
+
+    For when every result so far is written: those not yet computed can't be any more.
+    """
+    for path in list(_made):
+        _delete(spark, path)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it again; ``sweep`` spares a table to keep.
 
     The lineage ends there, so a lost executor costs no earlier work, and what
     made the rows runs once however often the result is used.
     """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _held[out] = path
+    if keep:
+        _made.pop(path)
+    return out
 
 
 def open_store(uri: str):

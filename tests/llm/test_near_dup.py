@@ -99,13 +99,13 @@ def test_components(spark):
 def test_a_largest_component_that_grows_stays_in_view(tmp_path):
     """Row 2 joins the largest component and then links to row 3; row 4 links to row 1 of the largest alone."""
     sets = [range(10), range(100, 110), range(11), range(12), range(100, 111)]
-    raw = [near_dup.pack(np.array(s, np.uint64) << np.uint64(16)) for s in sets]
+    raw = [np.array(s, np.uint64).tobytes() for s in sets]
     (tmp_path / "f").write_bytes(b"".join(raw))
     size = [len(x) for x in raw]
     n = len(sets)
     rows = pa.RecordBatch.from_pydict(
         {
-            "tree": pa.array([0] * n, pa.int32()), "key": pa.array([bytes(16)] * n), "rep": pa.array(range(n), pa.int64()), "sketch": pa.array([bytes(64)] * n),
+            "tree": pa.array([0] * n, pa.int32()), "key": pa.array([bytes(16)] * n), "cid": pa.array(range(n), pa.int64()), "sketch": pa.array([bytes(64)] * n),
             "comp": pa.array([10, 10, 20, 30, 40], pa.int64()), "file": ["f"] * n, "at": pa.array([sum(size[:i]) for i in range(n)], pa.int64()), "size": pa.array(size, pa.int64()),
         }
     )
