@@ -3,16 +3,23 @@
 Documents are counted by exact length within each source.  A source's target is
 taken as whole passes over the source plus a remaining budget, and a bounded
 knapsack over the length counts says how many documents of each length fill it.
-Which ones is settled by a seeded hash, so reruns agree.
+Which ones is settled by a seeded hash, so reruns agree.  First every length gives
+an even share of its documents, which keeps a source's mix of lengths; of what
+rounding leaves, the part above WINDOW is filled by large lengths first, and the
+knapsack fits the last WINDOW words.  Its memory is bounded by WINDOW, whatever the
+number of documents, of lengths, or the longest text.
 
 Only rows of (doc_id, source, size) move: neither texts nor lists of documents
 leave the tasks that read them.  A length that very many documents of a source
 share is dealt over HASHES buckets, and only the bucket in which the count falls
 is ranked.
 
+Targets are computed in one task, from one row a source.
+
 Defined results: a null text has size 0 and is never taken; null sources form a
 source of their own, last in order; a null doc_id and repeated rows are rows like
-others, and of rows alike in all three columns any may be taken; an empty table
+others (many rows without doc_id are dealt over the buckets like others), and of
+rows alike in all three columns any may be taken; an empty table
 gives an empty result; other columns of the input are ignored.
 """
 
@@ -23,39 +30,49 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .places import FILE, ROW, placed, taken, write_marks
 from .store import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASHES = 4096
-#: Budgets up to this are fitted by dynamic programming; what is above goes in large lengths first.
-EXACT = 1 << 15
+#: So many words of a budget at least are fitted by dynamic programming.
+WINDOW = 1 << 17
 
 
-def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+def knapsack(sizes: list[int], counts: list[int], budget: int, window: int = WINDOW) -> list[int]:
     """How many of each size (at most ``counts``) come nearest to ``budget``.
 
-    Bounded knapsack over sums, as bit sets: a bit of the integer says that a sum
-    can be made.  Sums may pass the budget by the largest size at most.
+    Bounded knapsack over sums, as a bit set: a bit of the integer says that a sum can
+    be made, and ``first`` by which step it was made first, which leads back to the
+    counts.  Sums above twice the budget are worse than none, so they are left out.
     """
     taken = [0] * len(sizes)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     for i in order:
-        if budget > EXACT and sizes[i] > 0:
-            k = min(counts[i], (budget - EXACT // 2) // sizes[i])
+        if budget > window and sizes[i] > 0:
+            k = min(counts[i], (budget - window // 2) // sizes[i])
             taken[i] += k
             budget -= k * sizes[i]
-    left = [(sizes[i], counts[i] - taken[i], i) for i in order if sizes[i] > 0 and counts[i] > taken[i]]
+    left = [(sizes[i], counts[i] - taken[i], i) for i in order if 0 < sizes[i] <= 2 * budget and counts[i] > taken[i]]
     if budget <= 0 or not left:
         return taken
-    top = budget + max(s for s, _, _ in left)
+    if sum(s * n for s, n, _ in left) <= budget:
+        for _, n, i in left:
+            taken[i] += n
+        return taken
+    top = 2 * budget
     full = (1 << (top + 1)) - 1
-    reach, layers = 1, []
+    reach, steps, first = 1, [], np.full(top + 1, -1, np.int32)
     for s, n, i in left:
         n, part = min(n, top // s), 1
         while n > 0:
             part = min(part, n)
-            layers.append((reach, s * part, part, i))
-            reach = (reach | reach << (s * part)) & full
+            new = (reach << (s * part)) & full & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(steps)
+                steps.append((s * part, part, i))
+                reach |= new
             n -= part
             part *= 2
         if reach >> budget & 1:
@@ -64,10 +81,11 @@ def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     above = reach >> budget
     above = budget + (above & -above).bit_length() - 1 if above else None
     goal = below if above is None or budget - below <= above - budget else above
-    for before, weight, part, i in reversed(layers):
-        if not before >> goal & 1:
-            goal -= weight
-            taken[i] += part
+    # A sum that a step made first comes from one that an earlier step made.
+    while goal:
+        weight, part, i = steps[first[goal]]
+        goal -= weight
+        taken[i] += part
     return taken
 
 
@@ -118,7 +136,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1),
     """(doc_id, size, source_size, target, taken, copies) for every document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     thin = docs.select("doc_id", "source", size.alias("size"), *(keep or []))
-    thin = thin.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    thin = thin.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).alias("h"))
     thin = cut(thin.withColumn("hb", F.pmod("h", F.lit(HASHES)).cast("int")), "mix")
     buckets = thin.groupBy("skey", "source", "size", "hb").agg(F.count(F.lit(1)).alias("n"))
     lengths = buckets.groupBy("skey", "source", "size").agg(F.sum("n").alias("n"))
@@ -141,15 +159,8 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1),
 def mixed(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it.
 
-    Copies are decided on thin rows and joined to the texts by doc_id.  Rows that
-    share a doc_id and all that matters for the mix are taken together.
+    Copies are decided on thin rows, which find their texts again by place.
     """
-    plan = mix(docs, seed, weights, most)
-    key = plan.groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    key = cut(key.where("__copies > 0").withColumnRenamed("doc_id", "__id"), "copies")
-    rows = docs.join(key, docs["doc_id"].eqNullSafe(key["__id"]))
-    # Of rows that share a doc_id, as many are taken in all as the mix takes of them.
-    order = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text"))) - 1
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (order < F.col("__copies") % F.col("__rows")).cast("long")
-    rows = rows.withColumn("__n", F.when(F.col("__rows") == 1, F.col("__copies")).otherwise(share)).where("__n > 0")
-    return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    rows = placed(docs)
+    plan = mix(rows, seed, weights, most, keep=[F.col(FILE), F.col(ROW)])
+    return taken(rows, write_marks(plan.where("copies <> 1").select(FILE, ROW, F.col("copies").alias("value"))))
