@@ -13,8 +13,8 @@ is one pass over whole texts without a shuffle; the weights are DIMENSIONS float
 Defined results: null and empty texts have no features and get the score of the
 bare offset; with labels of one class, or none, all scores are that class's share
 (0.5 for none); a label that is null or neither 0 nor 1 is left out, of several
-labels of a document the smallest counts; repeated rows are scored alike; an
-empty table gives an empty result; ``score`` and ``predicted`` replace columns of
+labels of a document the smallest counts; of unlike texts under one doc_id one is
+taken for the fit, by its features; repeated rows are scored alike; an empty table gives an empty result; ``score`` and ``predicted`` replace columns of
 these names.
 """
 
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import lean, modest
 from .words import flat, mix, slices, words
 
 DIMENSIONS = 1 << 18
@@ -136,10 +137,11 @@ def train(rows: list[np.ndarray], quality: np.ndarray) -> Model:
     return model
 
 
+@lean
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch.column(2))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, 1 << 20):
             own = offsets[a : b + 1] - offsets[a]
             f = [x.astype(np.uint32).tobytes() for x in features(data[offsets[a] : offsets[b]], own)]
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(f, pa.binary())], ["doc_id", "quality", "f"])
@@ -147,12 +149,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` of the documents that ``labels`` (doc_id, quality) marks."""
+    modest(docs.sparkSession)
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # The sample's bound is the broadcast's: a row of 12 bytes for each of its documents.
     rows = texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
-    rows = rows.mapInArrow(_featured, "doc_id long, quality int, f binary").dropDuplicates(["doc_id"])
+    rows = rows.mapInArrow(_featured, "doc_id long, quality int, f binary")
+    # Of unlike texts under one doc_id one is taken, the same in every run.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("f", "quality")).alias("x")).select("doc_id", "x.*")
     got = sorted(((r["doc_id"], r["quality"], np.frombuffer(bytes(r["f"]), np.uint32)) for r in rows.toLocalIterator()), key=lambda r: (hash_order(r[0]), r[0]))
     return train([f for _, _, f in got], np.array([q for _, q, _ in got]))
 
@@ -161,10 +166,11 @@ def hash_order(n: int) -> int:
     return int(mix(np.array([n], np.int64).view(np.uint64))[0])
 
 
+@lean
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch.column(batch.schema.get_field_index("text")))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, 1 << 20):
             own = offsets[a : b + 1] - offsets[a]
             s = [model.score(f) for f in features(data[offsets[a] : offsets[b]], own)]
             part = batch.slice(a, b - a)
@@ -174,6 +180,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
+    modest(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
