@@ -2,11 +2,14 @@
 
 Encoding takes two passes.  The first counts all words of all documents; those that
 occur once in every 1 / SHARE bytes (so their number is bounded) are merged once, on
-the driver, and compiled to a minimal acyclic automaton in which words share prefixes and suffixes.  Its arcs add up to
+the driver (1.25 million words take some 2 GB there at the most, while they are
+compiled; the corpora measured have under a tenth of that), and compiled to a minimal acyclic automaton in which words share prefixes and suffixes.  Its arcs add up to
 a word's number, and the number leads to the word's ids.  Automaton, merge table
 and token bytes are one file in the shared folder, which tasks map to memory.  In
 the second pass the words of a slice of texts are looked up in the automaton all
-at once; those it lacks are merged exactly, again all at once.
+at once; those it lacks are merged exactly, again all at once; a word of more than LONG
+symbols is merged by itself, with a queue of ranks, so that a round costs what it
+merges and not the word's length.
 
 A word here is a blank with what follows it up to the next blank (the first word
 of a text has none).  The pre-tokenizer's pattern never joins over such a cut,
@@ -14,14 +17,16 @@ except where three blanks or other white-space characters meet or two end a text
 such texts are cut by the pattern itself.
 
 Defined results: a null text is empty and has no ids; text that spells a special
-token becomes that token; texts of any length, repeated rows and null doc_ids
-need no care; an empty table gives an empty result; extra columns are kept by
-``encode`` unless they are named ``ids``, which is replaced.
+token becomes that token; texts and words of any length, repeated rows and null
+doc_ids need no care; an empty table gives an empty result; extra columns are kept by
+``encode`` unless they are named ``ids`` (or ``decoded``, if that is asked for),
+which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections import Counter
@@ -35,14 +40,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import cut, mapped, save, work_dir
+from .store import cut, lean, mapped, save, work_dir
 
 #: Words of the lexicon occur at least so often a byte; with their blanks they have two bytes, so at most 1 / (2 * SHARE) qualify.
 SHARE = 4e-7
 #: A word of more bytes is left to exact merging.
 LONGEST = 64
 SLICE = 2 << 20
-KNOWN = 300_000
+KNOWN = 150_000
+#: Bytes of words that a task keeps at most beside the texts at hand.
+KEPT = 32 << 20
+#: Symbols from which a word is merged by itself.
+LONG = 1024
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _pieces = regex.compile(PATTERN)
 _joined = re.compile(r"\s\s(?:\s|\Z)")
@@ -62,6 +71,11 @@ class Merges:
         self.arrays = arrays
         self.pair, self.rank, self.made, self.single = (arrays[k] for k in ("pair", "rank", "made", "single"))
         self.offset, self.bytes = arrays["token_offset"], arrays["token_bytes"]
+        self.by_rank = np.argsort(self.rank)
+        # Where no merge makes a token that an earlier merge takes, all places of one rank can be merged in a round.
+        made = np.full(max(int(self.made.max(initial=0)), int(self.pair.max(initial=0) >> 32), int((self.pair & 0xFFFFFFFF).max(initial=0))) + 1, -1)
+        np.maximum.at(made, self.made, self.rank)
+        self.ordered = bool((np.maximum(made[self.pair >> 32], made[self.pair & 0xFFFFFFFF]) < self.rank).all())
 
     @classmethod
     def load(cls, path: str) -> Merges:
@@ -93,10 +107,12 @@ class Merges:
         """Ids of each word by exact merging: lowest rank first, leftmost first, all words in step."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         lens = np.array([len(w) for w in words], np.int64)
-        live = np.flatnonzero(lens)
+        for i in np.flatnonzero(lens > LONG).tolist():
+            out[i] = self.merge_long(self.single[np.frombuffer(words[i], np.uint8)])
+        live = np.flatnonzero((lens > 0) & (lens <= LONG))
         if not len(live):
             return out
-        sym = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        sym = self.single[np.frombuffer(b"".join([words[i] for i in live.tolist()]), np.uint8)]
         size = lens[live]
         worst = np.int64(1 << 40)
         while len(live):
@@ -119,6 +135,8 @@ class Merges:
             first = np.append(True, np.diff(where) > 1)
             run = where[np.flatnonzero(first)][np.cumsum(first) - 1]
             where = where[(where - run) % 2 == 0]
+            if not self.ordered:
+                where = where[np.append(True, word[where[1:]] != word[where[:-1]])]
             sym[where] = self.made[at[where]]
             keep = ~done[word]
             keep[where + 1] = False
@@ -126,6 +144,55 @@ class Merges:
             sym, live, size = sym[keep], live[~done], (size - gone)[~done]
         return out
 
+    def merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """The same for the symbols of one word."""
+        n = len(sym)
+        sym, after, before, live = sym.copy(), np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def push(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            key = (sym[at] << 32) | sym[after[at]]
+            i = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            hit = self.pair[i] == key
+            at, rank = at[hit], self.rank[i[hit]]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(at) else at
+            for s, e in zip(first, np.append(first[1:], len(at)), strict=False):
+                r = int(rank[s])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(at[s:e])
+
+        push(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            pair = self.by_rank[r]
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[live[at]]
+            at = at[after[at] < n]
+            at = at[((sym[at] << 32) | sym[after[at]]) == self.pair[pair]]
+            if not len(at):
+                continue
+            i = np.arange(len(at))
+            first = np.append(True, at[1:] != after[at[:-1]])
+            at = at[(i - np.maximum.accumulate(np.where(first, i, 0))) % 2 == 0]
+            if not self.ordered:
+                push(at[1:])
+                at = at[:1]
+            gone = after[at]
+            sym[at] = self.made[pair]
+            live[gone] = False
+            on = after[gone]
+            after[at] = on
+            before[on[on < n]] = at[on < n]
+            left = before[at]
+            push(np.union1d(left[left >= 0], at))
+        return sym[live]
+
     def ids(self, units: list[str]) -> list[np.ndarray]:
         """Ids of units of text; each is cut by the pre-tokenizer's pattern first."""
         parts = [[p.encode() for p in _pieces.findall(u)] for u in units]
@@ -227,13 +294,14 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield a, [t or "" for t in column[a:b].to_pylist()]
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of this task's words, more than once if they are many; (null, bytes) for its texts."""
     seen: Counter = Counter()
-    total = 0
+    total = held = 0
 
     def told():
-        w = [k for k in seen if k]
+        w = [k for k in seen if k and len(k) < LONGEST]
         return pa.RecordBatch.from_pydict({"word": pa.array(w, pa.string()), "n": pa.array([seen[k] for k in w], pa.int64())})
 
     for batch in batches:
@@ -242,9 +310,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in texts:
                 words = t.split(" ")
                 seen.update(words[1:])
-            if len(seen) > KNOWN:
+                held += len(t)
+            if len(seen) > KNOWN or held > KEPT:
                 yield told()
                 seen.clear()
+                held = 0
     yield told()
     yield pa.RecordBatch.from_pydict({"word": pa.array([None], pa.string()), "n": pa.array([total], pa.int64())})
 
@@ -254,7 +324,7 @@ def build(docs: DataFrame, path: str, share: float = SHARE) -> str:
     text = docs.select(F.col("text").cast("string").alias("text"))
     counts = text.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts.where("n > 1 OR word IS NULL"), "words")
-    total = counts.where("word IS NULL").first()["n"]
+    total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
     top = counts.where((F.col("n") >= share * total) & (F.octet_length("word") < LONGEST))
     units = sorted({(" " + r["word"]) for r in top.select("word").toLocalIterator() if not r["word"][:1].isspace()}, key=str.encode)
     merges = Merges.load(path)
@@ -274,10 +344,9 @@ class Encoder:
         self.special = dict(json.loads(self.data["special"].tobytes()))
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.long = 0
 
     def learn(self, units: list[str]) -> None:
-        if len(self.known) + len(units) > KNOWN:
-            self.known.clear()
         raw = [u.encode() for u in units]
         number = find_words(self.data, raw)
         offset, ids = self.data["word_offset"], self.data["word_ids"]
@@ -286,6 +355,7 @@ class Encoder:
         new = [units[i] for i in np.flatnonzero(number < 0).tolist()]
         for u, x in zip(new, self.merges.ids(new), strict=True):
             self.known[u] = x.astype(np.int32).tobytes()
+            self.long += len(u) if len(u) > LONGEST else 0
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -304,8 +374,9 @@ class Encoder:
             else:
                 cut.append(self.units(t))
         new = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(new) > KNOWN and self.known:
+        if len(self.known) + len(new) > KNOWN or self.long > KEPT:
             self.known.clear()
+            self.long = 0
             new = set().union(*cut)
         for s, i in self.special.items():
             if s in new:
@@ -316,7 +387,8 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
+@lean
+def _encode(batches: Iterator[pa.RecordBatch], uri: str, check: bool) -> Iterator[pa.RecordBatch]:
     coder = Encoder(uri)
     for batch in batches:
         at = batch.schema.get_field_index("text")
@@ -325,16 +397,38 @@ def _encode(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBa
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             part = batch.slice(a, len(texts))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*batch.schema.names, "ids"])
+            more = {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
+            if check:
+                more["decoded"] = pa.array([coder.merges.spell(i.astype(np.int64)) == t.encode() for i, t in zip(ids, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*part.columns, *more.values()], names=[*batch.schema.names, *more])
+
+
+def encode(docs: DataFrame, uri: str, check: bool = False) -> DataFrame:
+    """``docs`` with the column ``ids``, an array of int; to ``check`` adds ``decoded``, whether they decode to the text."""
+    docs = docs.drop("ids", *["decoded"] * check)
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.BooleanType())] * check]
+    return docs.mapInArrow(lambda it: _encode(it, uri, check), T.StructType([*docs.schema.fields, *more]))
+
+
+@lean
+def _decode(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
+    merges = Merges(mapped(uri))
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("ids"))
+        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        texts = [merges.spell(flat[a:b].astype(np.int64)).decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        rest = [i for i, c in enumerate(batch.schema.names) if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(texts, pa.string())], names=[*(batch.schema.names[i] for i in rest), "text"])
 
 
-def encode(docs: DataFrame, uri: str) -> DataFrame:
-    """``docs`` with the column ``ids``, an array of int."""
-    docs = docs.drop("ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(lambda it: _encode(it, uri), schema)
+def decode(rows: DataFrame, uri: str) -> DataFrame:
+    """``rows`` with ``text``, what their ``ids`` decode to; null ids are none."""
+    rows = rows.drop("text").withColumn("ids", F.coalesce("ids", F.expr("CAST(array() AS array<int>)")))
+    schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
+    return rows.mapInArrow(lambda it: _decode(it, uri), schema)
 
 
+@lean
 def _digests(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
     merges = Merges(mapped(uri))
     for batch in batches:

@@ -1,4 +1,7 @@
+import functools
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -15,6 +18,11 @@ NASTY = [
 ]
 
 
+@functools.cache
+def _merges():
+    return bpe.Merges.load(PATH)
+
+
 @pytest.fixture(scope="module")
 def lib():
     t = Tokenizer.from_file(PATH)
@@ -48,6 +56,33 @@ def test_nasty_texts(spark, lib):
         assert rows[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(lib.decode(want, skip_special_tokens=False).encode()).hexdigest(), r["text"]
 
 
+def test_long_words(lib):
+    """A megabyte without a cut takes seconds, and merges as the library does."""
+    rng = random.Random(1)
+    merges = bpe.Merges.load(PATH)
+    assert merges.ordered
+    for text in ("".join(rng.choice("abcdefgh") for _ in range(1 << 20)), "".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(200_000)), "ab" * 5000, "".join(rng.choice(["the", "ing", "str", "nation"]) for _ in range(3000))):
+        start = time.time()
+        assert merges.ids([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert time.time() - start < 30
+
+
+@settings(max_examples=100, deadline=None)
+@given(text=st.text(st.sampled_from("abtheins"), min_size=2, max_size=80), ordered=st.booleans())
+def test_long_words_merge_as_short_ones(lib, text, ordered):
+    merges = _merges()
+    merges.ordered = ordered
+    assert merges.merge_long(merges.single[list(text.encode())]).tolist() == merges.merge([text.encode()])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_decode(spark, odd_docs):
+    uri = bpe.build(odd_docs, PATH)
+    out = bpe.encode(odd_docs, uri, check=True)
+    assert all(r["decoded"] for r in out.select("decoded").collect())
+    back = {r["text"] for r in bpe.decode(out.drop("text"), uri).select("text").collect()}
+    assert back == {r["text"] or "" for r in odd_docs.select("text").collect()}
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(st.sampled_from("ab 'stre\n\t é1.,!日\U0001f600<|endoftext|>"), max_size=60))
 def test_any_text(coder, lib, text):
