@@ -1,8 +1,10 @@
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arkloom.llm import queries, topk
+from arkloom.llm.store import cut, path_of, work_dir
 
 
 def brute(rows, pick, k):
@@ -45,6 +47,35 @@ def test_rows_that_take_no_part(spark):
     assert got == [(0, 1, 7, 256 * 256_000_000_000), (0, 2, 8, 65536), (0, 3, 50, 256 * 64 - 128), (50, 1, 7, 64 * 256_000_000_000), (50, 2, 8, 64 * 256), (50, 3, 0, 256 * 64 - 128)]
 
 
+def test_pieces_that_pass_the_held_bytes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "HOLD", 100)  # workers import the module anew; _search is called here
+    rng = np.random.default_rng(4)
+    w = rng.integers(-9, 10, (90, 4))
+    batches = [pa.RecordBatch.from_pydict({"vec_id": pa.array(range(i, i + 30)), "w": pa.array(w[i : i + 30].tolist(), pa.list_(pa.int64()))}) for i in (0, 30, 60)]
+    df = spark.createDataFrame([(i, w[i].tolist()) for i in range(0, 90, 10)], "vec_id long, w array<long>")
+    folder = work_dir(spark, "blocks")
+    index = path_of(cut(df.repartition(2).mapInArrow(lambda it: topk._pack(it, folder, 4), "uri string"), "index"))
+    hits = [tuple(r.values()) for b in topk._search(iter(batches), index, 2) for r in b.to_pylist()]
+    assert len(hits) == 3 * 9 * 2
+    want = {(q, i, s) for q, _, i, s in brute([(i, w[i].tolist()) for i in range(90)], lambda i: i % 10 == 0, 2)}
+    assert want <= set(hits)
+
+
+def test_one_id_with_unlike_vectors_and_repeated_rows(spark):
+    rows = [(0, [1, 0]), (0, [1, 0]), (0, [0, 2]), (1, [3, 1]), (1, [3, 1]), (2, [0, 4])]
+    df = spark.createDataFrame(rows, "vec_id long, w array<long>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id = 0"), df, 4).collect())
+    assert got == [(1, 2, 8), (2, 1, 3), (3, 1, 3), (4, 1, 2)]
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 1 << 62
+    rows = [(0, [big, big]), (1, [big, -big]), (2, [big, big - 1]), (3, [-big, -big]), (4, [3, -big]), (5, [-3, 5])]
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows[:1], "vec_id long, w array<long>"), spark.createDataFrame(rows, "vec_id long, w array<long>")).orderBy("rank").collect()]
+    top = (1 << 63) - 1
+    assert got == [(2, top), (5, top), (1, 0), (3, -top), (4, -top)]
+
+
 def test_empty(spark):
     q = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(q, q).collect() == []
