@@ -76,6 +76,39 @@ def test_pointer_jumping(lens, noise):
     assert {a for a, m in zip(at, mark, strict=True) if m} == walk and set(true[:-1]) == walk & set(true[:-1])
 
 
+@pytest.mark.parametrize("gzipped", [True, False])
+def test_headers_of_any_length(spark, gzipped):
+    pages = [(i, f"http://x/{'y' * (1 << 20) if i == 4 else i}", f"page {i}", "z", 1, True) for i in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, sha string, n int, revisit boolean").repartition(2)
+    folder = work_dir(spark, "warc-long")
+    archives = W.write_archives(df, folder, gzipped=gzipped)
+    assert sorted(map(tuple, W.read_archives(archives, folder, 300_000).collect())) == brute([(i, h) for i, _, h, *_ in pages])
+
+
+@pytest.mark.parametrize("gzipped", [True, False])
+@pytest.mark.parametrize("lost", ["end", "start", "middle"])
+def test_a_chain_that_breaks_off_is_an_error(spark, gzipped, lost):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    folder = work_dir(spark, "warc-cut")
+    (file, size), = W.write_archives(df, folder, gzipped=gzipped).collect()
+    store, path = open_store(folder)
+    with store.open_input_file(f"{path}/{file}") as f:
+        raw = f.read()
+    at = {"end": size - 9, "start": 0, "middle": size // 2}[lost]
+    raw = raw[:at] + (b"" if lost == "end" else b"\0" * 9 + raw[at + 9 :])
+    with store.open_output_stream(f"{path}/{file}", compression=None) as f:
+        f.write(raw)
+    with pytest.raises(Exception, match="no record follows" if lost != "middle" else None):
+        W.read_archives(spark.createDataFrame([(file, len(raw))], "file string, bytes long"), folder).collect()
+
+
+def test_hot_payloads_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(W, "HOT", 5)
+    pages = [(i, "same" if i % 2 else f"own {i % 12}") for i in range(40)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").repartition(4)
+    assert sorted(map(tuple, W.archive_pages(df).collect())) == brute(pages)
+
+
 def test_edges(spark):
     pages = [(1, "u", ""), (2, None, None), (3, "u", "x"), (3, "u", "x"), (None, "u", "x"), (5, "ü\n", "é" * 200_000), (6, "u", "é" * 200_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
