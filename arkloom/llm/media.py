@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, open_store, work_dir
+from .store import cut, lean, open_store, work_dir
 
 WIDTH = 576
 SHARD = 64 << 20
@@ -79,6 +79,7 @@ def from_png(image: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
+@lean
 def _write(batches: Iterator[pa.RecordBatch], folder: str, most: int) -> Iterator[pa.RecordBatch]:
     store, path = open_store(folder)
     store.create_dir(path, recursive=True)
@@ -129,6 +130,7 @@ def features(samples: np.ndarray) -> str:
     return f"{mean:.3f},{np.sqrt(max(0.0, (share * (np.arange(256) - mean) ** 2).sum())):.3f},{entropy:.4f},{share[255]:.4f}"
 
 
+@lean
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     from functools import lru_cache
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, mapped, save, work_dir
+from .store import cut, lean, mapped, save, work_dir
 from .words import LOWER, SPACE, flat, slices, words
 
 DEPTH = 5
@@ -148,6 +148,7 @@ def _rows(kind: str, pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
     )
 
 
+@lean
 def _gather(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Counts of words ("w") and of full-depth contexts with next symbols ("g"), dealt to buckets."""
     w, g, docs = Sums(), Sums(), 0
@@ -189,6 +190,7 @@ def contexts(keys: np.ndarray, counts: np.ndarray, least: float) -> Iterator[tup
         yield depth, k, c
 
 
+@lean
 def _reduce(batches: Iterator[pa.RecordBatch], least: float, common: float) -> Iterator[pa.RecordBatch]:
     """Sums each bucket's counts; keeps totals, common words, and contexts that may be retained."""
     at, sums = None, Sums()
@@ -329,6 +331,7 @@ def blend(tree: np.ndarray, count: np.ndarray, total: float) -> np.ndarray:
     return np.where(count > 0, both, rest)
 
 
+@lean
 def _assess(batches: Iterator[pa.RecordBatch], uri: str, buckets: int) -> Iterator[pa.RecordBatch]:
     """Scores texts; sends uncommon words to their buckets ("p") and what is known of the rows to their block ("r")."""
     model = mapped(uri)
@@ -379,6 +382,7 @@ def _assess(batches: Iterator[pa.RecordBatch], uri: str, buckets: int) -> Iterat
         yield from told()
 
 
+@lean
 def _return(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
     """Counts the words of each bucket and sends logarithms back to the blocks ("s"); passes "r" on."""
     model = mapped(uri)
@@ -418,6 +422,7 @@ def _return(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBa
         yield from told()
 
 
+@lean
 def _finish(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
     """Adds up each block's rows; "r" sorts before "s"."""
     model = mapped(uri)

@@ -15,7 +15,7 @@ def steps(spark):
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
     out.append(docs)
     for i, (_, stage) in enumerate(P.STAGES):
-        out.append(P.cut(stage(spark, out[-1], SF), f"test-{i}"))
+        out.append(P.cut(stage(spark, out[-1], SF), f"test-{i}", keep=True))
     return out
 
 
@@ -81,7 +81,7 @@ def test_ids_decode_to_the_texts(steps):
 def test_edges(spark, request, make):
     docs = request.getfixturevalue(make)
     for i, (_, stage) in enumerate(P.STAGES):
-        out = P.cut(stage(spark, docs, SF), f"edge-{i}")
+        out = P.cut(stage(spark, docs, SF), f"edge-{i}", keep=True)
         if i == 0 and make == "odd_docs":
             assert out.columns == docs.columns
             continue  # each of the other stages gets all the odd rows
