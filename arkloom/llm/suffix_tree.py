@@ -2,9 +2,10 @@
 
 The model reads a text as its words in lower case, each followed by a blank, and
 an end symbol.  Contexts are the last bytes, up to DEPTH of them.  One pass over
-the training texts counts every (context, next symbol) of full depth; sorted with
-the latest byte first, the counts of all shorter contexts are sums of runs.  A
-context of at least SHARE of all symbols is retained if its next-symbol
+the training texts counts every (context, next symbol) of full depth; they are dealt
+by hash and summed.  The sums, a row for each distinct one, are dealt by their latest
+two bytes: sorted with the latest byte first, the counts of all shorter contexts are
+sums of runs.  A context of at least SHARE of all symbols is retained if its next-symbol
 distribution diverges from that of its longest proper suffix by a log-likelihood
 gain of GAIN; distributions are smoothed towards the suffix's.  The tree becomes
 an automaton whose state is the longest suffix retained, so texts are scored in
@@ -36,20 +37,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, lean, mapped, save, work_dir
+from .store import cut, lean, mapped, modest, save, work_dir
 from .words import LOWER, SPACE, flat, slices, words
 
 DEPTH = 5
-SHARE = 5e-6
+SHARE = 1e-6
 GAIN = 6.0
 TOWARDS = 4.0
 END = 255
 #: A word of at least this share of the training bytes is looked up in a table; at most half as many as one by this fit.
 COMMON = 1 / 400_000
+#: Tasks of a step by tasks of the input, so that what one reads stays in proportion.
+SPREAD = 2
 LANE = 1024
 HELD = 1 << 20
-#: The unigram's part in a word's probability; of 0.1, 0.25, 0.5, 0.75 and 0.9 the first two did best on unseen texts.
-UNIGRAM = 0.2
+#: The unigram's part in a word's probability, chosen on a part of the training rows that was left out for it.
+UNIGRAM = 0.1
 BLOCK_ROWS = 1 << 15
 
 
@@ -155,8 +158,7 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
 
     def told(kind: str, sums: Sums) -> pa.RecordBatch:
         k, c = sums.total()
-        # Contexts are dealt by their latest two bytes, so shorter contexts from there up are whole in a bucket.
-        b = (k if kind == "w" else (k >> np.uint64(8 * DEPTH - 8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets)
+        b = (k if kind == "w" else k * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets)
         return _rows(kind, list(dealt(b.astype(np.int64), buckets, k, c.astype(np.uint32))))
 
     for batch in batches:
@@ -191,33 +193,49 @@ def contexts(keys: np.ndarray, counts: np.ndarray, least: float) -> Iterator[tup
 
 
 @lean
-def _reduce(batches: Iterator[pa.RecordBatch], least: float, common: float) -> Iterator[pa.RecordBatch]:
-    """Sums each bucket's counts; keeps totals, common words, and contexts that may be retained."""
-    at, sums = None, Sums()
+def _reduce(batches: Iterator[pa.RecordBatch], buckets: int, common: float) -> Iterator[pa.RecordBatch]:
+    """Sums each bucket's counts; keeps totals and common words, and deals contexts by their latest two bytes ("h")."""
 
-    def told() -> list[tuple[int, bytes]]:
-        k, c = sums.total()
-        if at[0] == "w":
+    def told(kind: str, k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if kind == "w":
             top = c >= common
             yield _rows("n", [(0, np.array([c.sum(), len(c)], np.int64).tobytes())])
             yield _rows("c", [(0, k[top].tobytes() + c[top].astype(np.int64).tobytes())])
         else:
-            for depth, x, n in contexts(k, c, least):
-                yield _rows("t", [(depth, x.tobytes() + n.astype(np.int64).tobytes())])
+            # So shorter contexts from there up are whole in a bucket.
+            b = ((k >> np.uint64(8 * DEPTH - 8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets)
+            yield _rows("h", list(dealt(b.astype(np.int64), buckets, k, c.astype(np.uint64))))
+
+    yield from _by_bucket(batches, ("w", "g"), ("u8", "u4"), told)
+
+
+@lean
+def _shorten(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Contexts of all depths that may be retained ("t"), from each bucket's sums; the other rows pass."""
 
+    def told(kind: str, k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for depth, x, n in contexts(k, c, least):
+            yield _rows("t", [(depth, x.tobytes() + n.astype(np.int64).tobytes())])
+
+    yield from _by_bucket(batches, ("h",), ("u8", "u8"), told)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...], types: tuple[str, str], told) -> Iterator[pa.RecordBatch]:
+    """``told`` of each bucket's summed counts; rows of other kinds pass."""
+    at, sums = None, Sums()
     for batch in batches:
         for kind, bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if kind == "d":
-                yield _rows("d", [(0, raw.as_py())])
+            if kind not in kinds:
+                yield _rows(kind, [(bucket, raw.as_py())])
                 continue
             if at != (kind, bucket):
                 if at is not None:
-                    yield from told()
+                    yield from told(at[0], *sums.total())
                 at, sums = (kind, bucket), Sums()
-            k, c = undo(raw.as_buffer().to_pybytes(), "u8", "u4")
+            k, c = undo(raw.as_buffer().to_pybytes(), *types)
             sums.add(k, c.astype(np.int64))
     if at is not None:
-        yield from told()
+        yield from told(at[0], *sums.total())
 
 
 def grow(tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -323,10 +341,10 @@ def score_tokens(model: dict[str, np.ndarray], symbols: np.ndarray) -> np.ndarra
     return np.add.reduceat(score_stream(model, symbols), np.append(0, np.flatnonzero(closes) + 1))
 
 
-def blend(tree: np.ndarray, count: np.ndarray, total: float) -> np.ndarray:
-    """log10 probability of words by tree and counts; ``total`` is the unigram's denominator."""
-    rest = np.log10(1 - UNIGRAM + UNIGRAM / total) + tree
-    known = np.log10(UNIGRAM * (count + 1.0) / total)
+def blend(tree: np.ndarray, count: np.ndarray, total: float, part: float = UNIGRAM) -> np.ndarray:
+    """log10 probability of words by tree and counts; ``total`` is the unigram's denominator, ``part`` its weight."""
+    rest = np.log10(1 - part + part / total) + tree
+    known = np.log10(part * (count + 1.0) / total)
     both = np.maximum(rest, known) + np.log10(1 + 10.0 ** -np.abs(rest - known))
     return np.where(count > 0, both, rest)
 
@@ -336,6 +354,7 @@ def _assess(batches: Iterator[pa.RecordBatch], uri: str, buckets: int) -> Iterat
     """Scores texts; sends uncommon words to their buckets ("p") and what is known of the rows to their block ("r")."""
     model = mapped(uri)
     common, log_c = model["common"], np.log10(model["common_count"] + 1.0)
+    weight = float(model["unigram"][0])
     docs, total = int(model["docs"][0]), float(model["tokens"][0] + model["types"][0] + 1)
     log_end, known_end = np.log10(docs + 1.0), int(docs > 0)
     pid, block = TaskContext.get().partitionId(), 0
@@ -366,9 +385,9 @@ def _assess(batches: Iterator[pa.RecordBatch], uri: str, buckets: int) -> Iterat
             known = np.bincount(row[hit], minlength=b - a) + known_end
             docs_at = at[1:] + np.arange(b - a)  # the end of each text among the tokens
             tree = score_tokens(model, stream(part, own)[0])
-            s = blend(tree[docs_at], np.full(b - a, docs), total)
+            s = blend(tree[docs_at], np.full(b - a, docs), total, weight)
             tree = np.delete(tree, docs_at)
-            s += np.bincount(row[hit], blend(tree[hit], model["common_count"][i[hit]], total), b - a)
+            s += np.bincount(row[hit], blend(tree[hit], model["common_count"][i[hit]], total, weight), b - a)
             nulls = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             rows.append((ids.fill_null(0).to_numpy(), np.diff(at) + 1, base, known, s, trains, nulls))
             # A word's row says in its lowest bit whether it is of a training text.
@@ -386,7 +405,7 @@ def _assess(batches: Iterator[pa.RecordBatch], uri: str, buckets: int) -> Iterat
 def _return(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
     """Counts the words of each bucket and sends logarithms back to the blocks ("s"); passes "r" on."""
     model = mapped(uri)
-    whole = float(model["tokens"][0] + model["types"][0] + 1)
+    whole, part = float(model["tokens"][0] + model["types"][0] + 1), float(model["unigram"][0])
     at, parts = None, []
 
     def told() -> Iterator[pa.RecordBatch]:
@@ -400,7 +419,7 @@ def _return(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBa
         key, per, tree = key[order] >> np.uint64(1), per[order], tree[order].astype(np.float64)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         base, known = np.add.reduceat(np.log10(per + 1.0), first), np.add.reduceat((per > 0).astype(np.uint32), first)
-        model_p, key = np.add.reduceat(blend(tree, per, whole), first), key[first]
+        model_p, key = np.add.reduceat(blend(tree, per, whole, part), first), key[first]
         block, row = key >> np.uint64(19), (key & np.uint64((1 << 19) - 1)).astype(np.uint32)
         edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         pairs = []
@@ -462,13 +481,15 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 PACKED = "kind string, bucket long, packed binary"
 
 
-def fit(docs: DataFrame, train: Column) -> str:
+def fit(docs: DataFrame, train: Column, share: float = SHARE, unigram: float = UNIGRAM) -> str:
     """Learns from rows of ``docs`` (doc_id, text) for which ``train`` holds; returns the model file's URI."""
     texts = docs.where(train).select("text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(32, 2 * texts.rdd.getNumPartitions())
+    buckets = max(32, SPREAD * texts.rdd.getNumPartitions())
+    modest(docs.sparkSession)
     gathered = _bucketed(texts.mapInArrow(lambda it: _gather(it, buckets), PACKED), buckets)
-    reduced = cut(gathered.mapInArrow(lambda it: _reduce(it, SHARE * total, max(2.0, COMMON * total)), PACKED), "lm")
+    summed_up = _bucketed(gathered.mapInArrow(lambda it: _reduce(it, buckets, max(2.0, COMMON * total)), PACKED), buckets)
+    reduced = cut(summed_up.mapInArrow(lambda it: _shorten(it, share * total), PACKED), "lm")
     words_n, types, n_docs = 0, 0, 0
     common, tables = [], {}
     # Bounded: contexts and words that have a set share of the input, and a row of totals a bucket.
@@ -486,16 +507,16 @@ def fit(docs: DataFrame, train: Column) -> str:
     k, c = (np.concatenate(x) for x in zip(*common, strict=True)) if common else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     order = np.argsort(k)
     tree = grow({d: summed(*(np.concatenate(x) for x in zip(*parts, strict=True))) for d, parts in tables.items()})
-    facts = {"common": k[order], "common_count": c[order], "docs": np.array([n_docs]), "tokens": np.array([words_n + n_docs]), "types": np.array([types + (n_docs > 0)])}
+    facts = {"common": k[order], "common_count": c[order], "docs": np.array([n_docs]), "tokens": np.array([words_n + n_docs]), "types": np.array([types + (n_docs > 0)]), "unigram": np.array([float(unigram)])}
     return save(tree | facts, work_dir(docs.sparkSession, "lm") + "/model")
 
 
-def score(docs: DataFrame, train: Column) -> DataFrame:
+def score(docs: DataFrame, train: Column, share: float = SHARE, unigram: float = UNIGRAM) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    uri = fit(docs, train)
+    uri = fit(docs, train, share, unigram)
     rows = docs.select("doc_id", train.alias("train"), "text")
-    buckets = max(32, 2 * rows.rdd.getNumPartitions())
+    buckets = max(32, SPREAD * rows.rdd.getNumPartitions())
     sent = _bucketed(rows.mapInArrow(lambda it: _assess(it, uri, buckets), PACKED), buckets)
     home = sent.mapInArrow(lambda it: _return(it, uri), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -62,12 +62,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, or one row."""
+def slices(offsets: np.ndarray, most: int = SLICE, rows: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes, or one row, and of at most ``rows`` rows."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + rows, n)
         yield i, j
         i = j
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -170,6 +171,54 @@ def test_texts_of_one_template_in_oversized_regions(spark, monkeypatch):
             spark.conf.set(c, v)
 
 
+@pytest.mark.parametrize("n", [600, 5000])
+def test_texts_of_one_template_just_below_the_threshold(spark, n):
+    """Each is like every other, none links but for planted pairs; work stays bounded and no pair is lost."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    core = fresh(120)
+    rows = [(i, " ".join(core + fresh(rng.randrange(17, 22)))) for i in range(n)]
+    for i in range(100):
+        own = fresh(18)
+        rows += [(10**6 + 2 * i, " ".join(core + own)), (10**6 + 2 * i + 1, " ".join(core + own[:4] + fresh(14)))]
+    assert 0.7 < similarity(rows[0][1], rows[1][1]) < 0.8 <= similarity(rows[-2][1], rows[-1][1]) < 0.85
+    rng.shuffle(rows)
+    start = time.time()
+    out = got(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 2))
+    assert {i: c for i, (_, c, _) in out.items()} == {i: i - (i >= 10**6 and i % 2) for i, _ in rows}
+    assert time.time() - start < 120
+
+
+def test_parity_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 400), np.uint64) * np.uint64(2)) for _ in range(60)]
+    sets += [np.unique(np.concatenate((rng.permutation(s)[: max(1, int(len(s) * 0.92))], rng.integers(0, 2**63, 1 + len(s) // 20, np.uint64)))) for s in sets]
+    size = np.array([len(s) for s in sets])
+    parity = near_dup.Parity(size, lambda i: sets[i])
+    for x in range(len(sets)):
+        other = np.delete(np.arange(len(sets)), x)
+        links = {y for y in other.tolist() if near_dup.similar(sets[x], sets[y], 80)}
+        assert links <= set(parity.may(x, other, size, 80).tolist())
+        assert links == {y for y, ok in zip(other.tolist(), near_dup.linked(sets[x], [sets[y] for y in other], 80), strict=True) if ok}
+
+
+def test_unlike_texts_under_one_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b), (3, c), (0, c)], "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.deduplicate(df).collect()) == [(0, c), (1, a), (1, b)]
+    rows = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect())
+    assert rows == [(0, 0, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 0, False)]
+
+
+def test_no_text_is_shuffled(spark, data):
+    """What the stages of deduplication and mixing return reads the table again, without an exchange below it."""
+    from arkloom.llm import mixing
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for df in (near_dup.deduplicate(docs), mixing.mixed(docs)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def similarity(a, b):
     a, b = shingles(a, 2), shingles(b, 2)
     return len(a & b) / len(a | b)

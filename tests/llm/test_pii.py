@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ NASTY = [
 
 def test_base_spans_match_python(spark, data):
     rows = spark.createDataFrame([(t,) for t in NASTY], "text string").unionByName(spark.read.parquet(f"{data}/documents.parquet").select("text"))
-    got = rows.select("text", pii.base_spans(F.coalesce("text", F.lit(""))).alias("base")).collect()
+    got = pii.with_base(rows.withColumn("__text", F.coalesce("text", F.lit("")))).collect()
     for r in got:
         assert [tuple(s) for s in r["base"]] == brute(r["text"]), r["text"]
 
@@ -91,8 +93,60 @@ def test_a_sure_pattern_of_a_small_share_is_used(spark):
 def test_candidates_of_digits_at_every_second_place(spark):
     texts = ["call 5-5-5-1-2-3-4 now", "card 2 1 2 5 5 5 0 1 9 9"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    rows = df.select(pii.candidates(F.col("text"), pii.base_spans(F.col("text"))).alias("c")).collect()
-    assert [[c["m"] for c in r["c"]] for r in rows] == [["5-5-5-1-2-3-4"], ["2 1 2 5 5 5 0 1 9 9"]]
+    rows = pii.with_candidates(df, "text").collect()
+    assert [[c["m"] for c in r["candidates"]] for r in rows] == [["5-5-5-1-2-3-4"], ["2 1 2 5 5 5 0 1 9 9"]]
+
+
+def replaced(text, spans):
+    out, at = [], 0
+    for s, _, e, k in spans:
+        if s >= at:
+            out += [text[at:s], f"<{k.upper()}>"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+@pytest.mark.parametrize("step", [1, 3, 256])
+def test_many_spans_in_runs(spark, monkeypatch, step):
+    """Spans, contexts and redaction don't depend on the length of the runs that arrays are cut to."""
+    monkeypatch.setattr(pii, "STEP", step)
+    rng = random.Random(step)
+    bits = ["a@b.c", "1.2.3.4", "+49 123 456 7890", "4111 1111 1111 1111", "word", "\U0001f600", "x@y.z.1.2.3.4", "555-0199-22", "\t\n", "Mail  to", "+1.2.3.4.5555.66777", "user@localhost"]
+    texts = [" ".join(rng.choice(bits) for _ in range(n)) for n in (0, 1, 2, 5, 40, 900)] + ["a@b.c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.with_base(df, "text").collect():
+        assert [tuple(x) for x in r["base"]] == brute(texts[r["doc_id"]])
+    form = re.compile(r"(?<![A-Za-z0-9._%+@-])(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]|[0-9(+][0-9().\x20-]*[0-9])")
+    for r in pii.with_candidates(df, "text").collect():
+        text, base, at, want = texts[r["doc_id"]], brute(texts[r["doc_id"]]), 0, []
+        for m in form.finditer(text):
+            words = text[at : m.start()].lower().split()
+            at = m.end()
+            if len(m[0]) >= 6:
+                holds = [k for s, _, e, k in base if s <= m.start() and m.end() <= e]
+                patterns = [*words[-1:], *([" ".join(words[-2:])] if len(words) > 1 else [])]
+                want.append((m.start(), m.end(), m[0], patterns, (holds or [None])[0], any(s < m.end() and m.start() < e for s, _, e, _ in base)))
+        assert [tuple(c) for c in r["candidates"]] == want
+    for r in pii.replaced(pii.with_base(df.withColumn("__text", F.col("text"))).withColumnRenamed("base", "spans")).collect():
+        assert r["text"] == replaced(texts[r["doc_id"]], brute(texts[r["doc_id"]]))
+
+
+def test_a_very_long_text(spark):
+    """Four megabytes with 20000 addresses take seconds."""
+    text = " ".join("word " * 34 + f"mail to user{i}@site{i % 99}.org" for i in range(20_000))
+    start = time.time()
+    df = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert df.first()["text"] == re.sub(r"user\d+@site\d+.org", "<EMAIL>", text)
+    assert time.time() - start < 60
+
+
+def test_contexts_of_long_words_and_ties(spark):
+    long = "l" * 5000
+    rows = [f"{long} at +1 212 555 {1000 + i} or so." for i in range(60)] + [f"{long} at 212-555-0199 or so."]
+    found = pii.patterns(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert found == {"at": "phone", f"{long} at": "phone"}
+    rows = [f"call +1 212 555 {1000 + i} a" for i in range(60)] + [f"call x{i}@y.org a" for i in range(60)]
+    assert pii.patterns(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), sure=0.4) == {"call": "phone"}
 
 
 def test_edges(spark, odd_docs, no_docs):
