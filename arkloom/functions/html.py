@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from html import unescape
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that ``strip_html`` knows; ``strip_html_robust`` knows all.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Named entities of HTML 4, and "apos".
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
 
 
 def _col(c: Column | str) -> Column:
@@ -21,17 +22,41 @@ def strip_html(html: Column | str) -> Column:
     """Struct of a page's text and its length in characters, by regular expressions.
 
     Scripts, styles, comments and the head go with what they hold, then all tags;
-    runs of white space become one blank, and ENTITIES are resolved.
+    runs of white space become one blank, and entities are resolved: those of ENTITIES
+    with their semicolon, numeric ones with or without.
     """
     t = F.regexp_replace(_col(html), r"(?is)<(script|style|head|title)\b[^>]*>.*?</\1\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
     t = F.trim(F.regexp_replace(t, r"[ \t\n\x0B\f\r]+", " "))
-    for name, value in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(value))
+    t = F.when(t.contains("&"), resolved(t)).otherwise(t)
     return F.struct(t.alias("text"), F.length(t).alias("text_len"))
 
 
+NUMERIC = r"\A#(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}));?"
+NAMED = r"\A([A-Za-z][A-Za-z0-9]*);"
+
+
+def resolved(text: Column) -> Column:
+    """The text with its entities resolved in one pass; what is none stays."""
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def one(p: Column) -> Column:
+        part = lambda i: F.regexp_extract(p, NUMERIC, i)
+        code = F.coalesce(part(1).try_cast("int"), F.conv(F.when(part(2) != "", part(2)), 16, 10).try_cast("int"))
+        fine = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        named = F.element_at(known, F.regexp_extract(p, NAMED, 1))
+        return (
+            F.when(fine, F.concat(char, F.regexp_replace(p, NUMERIC, "")))
+            .when(named.isNotNull(), F.concat(named, F.regexp_replace(p, NAMED, "")))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    parts = F.split(text, "&")
+    return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+
+
 class _Text(HTMLParser):
     _hidden = {"script", "style", "head", "title", "noscript", "template"}
     _inline = {"a", "b", "i", "u", "em", "strong", "span", "font", "small", "big", "sub", "sup", "code", "tt", "abbr", "q", "s"}
@@ -86,7 +111,11 @@ def strip_html_robust(html: Column | str) -> Column:
     return F.struct(t.alias("text"), F.length(t).alias("text_len"))
 
 
+#: Fixed value: how a link is recognised.
+ANCHOR = r'<a[\s]+href[\s]*=[\s]*"[^>]*>(.*?)</a>'
+
+
 def anchor_texts(html: Column | str) -> Column:
     """Texts of links whose first attribute is a quoted href, on one line; null for pages under 15 characters."""
-    found = F.regexp_extract_all(_col(html), F.lit(r'<a[\s]+href[\s]*=[\s]*"[^>]*>(.*?)</a>'), F.lit(1))
+    found = F.regexp_extract_all(_col(html), F.lit(ANCHOR), F.lit(1))
     return F.when(F.length(_col(html)) >= 15, found)

@@ -27,10 +27,17 @@ def concat_columns(df: DataFrame, spec: str, sep: str | None = None) -> Column:
     return F.when(cols[0].isNotNull(), F.concat_ws(sep or "", *cols[i:j]))
 
 
-def concat_fields(fields: Column, spec: str, size: int, sep: str | None = None) -> Column:
-    """The same for an array column of known size."""
-    i, j = slice_bounds(spec, size)
-    return F.array_join(F.slice(fields, i + 1, j - i), sep or "")
+def concat_fields(fields: Column, spec: str, sep: str | None = None) -> Column:
+    """The same for an array column; null where the slice of an array is empty."""
+    left, colon, right = spec.partition(":")
+    if not colon:
+        raise ValueError(f"no slice: {spec}")
+    i, size = int(left or 0), F.size(fields)
+    start = size + i if i < 0 else F.lit(i)
+    end = F.least(size + int(right) if int(right) < 0 else F.lit(int(right)), size) if right.strip() else size
+    end = F.when(start == end, start + 1).otherwise(end)
+    fine = (start >= 0) & (start < size) & (end > start)
+    return F.when(fine, F.array_join(F.slice(fields, F.when(fine, start + 1).otherwise(1), F.when(fine, end - start).otherwise(0)), sep or ""))
 
 
 def first(fields: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The stopwords and the separators between tokens.
 _WORDS = "a an and are as at by for has in is it of on or that the they this to with".split()
 #: The set as it is applied by default: lower-case "in" is not in it, "In" is.
 STOPWORDS = sorted({w for w in _WORDS if w != "in"} | {w.capitalize() for w in _WORDS})
@@ -21,6 +22,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def as_text(content: Column | str) -> Column:
+    """Text of bytes; what isn't UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(_col(content).cast("string"))
+
+
 def tokenise(text: Column | str, regex: str | None = None, stop: bool = True, url: bool = True, stopwords: list[str] | None = None) -> Column:
     """Array of tokens: the pieces between separators, without stopwords; null stays null.
 
@@ -64,12 +70,17 @@ def plain_words(text: Column | str) -> Column:
 
 
 def ngrams(words: Column, n: int = 2, down_to: int | None = None, distinct: bool = False) -> Column:
-    """Comma-joined runs of ``n`` words (and of fewer, down to ``down_to``); none if there are fewer words."""
+    """Comma-joined runs of ``n`` words (and of fewer, down to ``down_to``); none if there are fewer words.
+
+    A run that holds a null word is null.
+    """
 
     def of(w: Column, k: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), ","))
-        # A sequence to a smaller bound would count down.
-        return F.when(F.size(w) >= k, runs).otherwise(F.array().cast("array<string>"))
+        out = w
+        for i in range(1, k):
+            n = F.greatest(F.size(w) - i, F.lit(0))
+            out = F.zip_with(F.slice(out, F.lit(1), n), F.slice(w, F.lit(i + 1), n), lambda a, b: F.concat(a, F.lit(","), b))
+        return out
 
     sizes = [n] if down_to is None else list(range(n, down_to - 1, -1))
     # As a lambda's variable the words are computed once, not once an n-gram.

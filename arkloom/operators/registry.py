@@ -19,10 +19,11 @@ from arkloom.functions import rows as R
 from arkloom.functions import stats as S
 from arkloom.functions import text as T
 from arkloom.plans import corpus as C
+from arkloom.sources import crawl
 from arkloom.sources import text as X
 from arkloom.sources.warc import read_warc, write_warc
 
-#: Larger documents are left out by operators that look into content.
+#: Operators that look into content leave out documents of so many bytes and more, unless MAX_BYTES says otherwise (-1: none).
 MOST_BYTES = 700_000
 
 
@@ -77,7 +78,10 @@ def validated(op: Operator, params: dict) -> dict:
     for k, kind in op.required.items():
         if k not in params:
             raise ParameterError(f"{op.name} needs {k}")
-        out[k] = params[k] if kind is DataFrame else kind(params[k])
+        try:
+            out[k] = params[k] if kind is object else kind(params[k])
+        except (TypeError, ValueError) as error:
+            raise ParameterError(f"{op.name}: {k}={params[k]!r}") from error
     for k, default in op.optional.items():
         value = params.get(k, default)
         try:
@@ -92,11 +96,14 @@ def run(spark: SparkSession, name: str, params: dict) -> DataFrame | tuple[DataF
     if name not in REGISTRY:
         raise NotImplementedOperator(name)
     op = REGISTRY[name]
-    out = op.run(spark, **validated(op, params))
+    try:
+        out = op.run(spark, **validated(op, params))
+    except ValueError as error:
+        raise ParameterError(f"{op.name}: {error}") from error
     dests = [params[d] for d in op.dest if params.get(d)]
     many = out if isinstance(out, tuple) else (out,)
     if dests:
-        # Outputs share their parent, which is then computed once.
+        # Each destination is a job of its own, which reads the source.
         for df, dest in zip(many, dests, strict=False):
             if op.warc:
                 write_warc(df, dest, **({"compression": "gzip"} if dest.endswith(".gz") else {}))
@@ -107,16 +114,17 @@ def run(spark: SparkSession, name: str, params: dict) -> DataFrame | tuple[DataF
 
 
 def _content() -> F.Column:
-    return F.decode(F.col("content"), "UTF-8")
+    return T.as_text("content")
 
 
-def _small(spark: SparkSession, path: str) -> DataFrame:
-    return read_warc(spark, path).where(F.octet_length("content") < MOST_BYTES)
+def _small(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
+    rows = read_warc(spark, path).where("content IS NOT NULL")
+    return rows.where(F.octet_length("content") < most) if most >= 0 else rows
 
 
 @operator("warcRecordCount", {"WARC_FILE": str})
 def warc_record_count(spark, WARC_FILE):  # noqa: N803
-    return read_warc(spark, WARC_FILE, includeContent="false").agg(F.count("warcRecordId").alias("count"))
+    return read_warc(spark, WARC_FILE, ["warcRecordId"]).agg(F.count("warcRecordId").alias("count"))
 
 
 def word_count(rows: DataFrame, html: F.Column) -> DataFrame:
@@ -128,25 +136,37 @@ def warc_word_count(spark, WARC_FILE):  # noqa: N803
     return word_count(read_warc(spark, WARC_FILE), _content())
 
 
-@operator("webBaseWordCount", {"CRAWL_SOURCE": DataFrame}, dest=("WORD_COUNT_DEST",))
-def crawl_word_count(spark, CRAWL_SOURCE):  # noqa: N803
-    return word_count(CRAWL_SOURCE, F.col("content"))
+def _crawl(spark: SparkSession, source: object, server: str, sites: str, splits: int) -> DataFrame:
+    """Pages (url, content): a table of them, the path of one in Parquet, or a crawl by its name, with a server that has it."""
+    if isinstance(source, DataFrame):
+        return source
+    if server:
+        return crawl.records(crawl.read_crawl(spark, str(source), server, sites, splits).withColumn("raw", T.as_text("raw")))
+    return spark.read.parquet(str(source))
+
+
+_CRAWL = {"CRAWL_SERVER": "", "CRAWL_SITES": "", "CRAWL_SPLITS": 1}
+
 
+@operator("webBaseWordCount", {"CRAWL_SOURCE": object}, _CRAWL, dest=("WORD_COUNT_DEST",))
+def crawl_word_count(spark, CRAWL_SOURCE, CRAWL_SERVER, CRAWL_SITES, CRAWL_SPLITS):  # noqa: N803
+    return word_count(_crawl(spark, CRAWL_SOURCE, CRAWL_SERVER, CRAWL_SITES, CRAWL_SPLITS), F.col("content"))
 
-@operator("buildWebBaseIndex", {"CRAWL_SOURCE": DataFrame}, {"include_summary": False}, dest=("URL_MAP_DEST", "INDEX_DEST"))
-def build_index(spark, CRAWL_SOURCE, include_summary):  # noqa: N803
-    """(docID, url) and (token, docID, pos) of pages (url, content); ids are hashes of URLs, so both outputs agree."""
-    docs = CRAWL_SOURCE.select(F.sha1("url").alias("docID"), "url", "content")
+
+@operator("buildWebBaseIndex", {"CRAWL_SOURCE": object}, {"include_summary": False} | _CRAWL, dest=("URL_MAP_DEST", "INDEX_DEST"))
+def build_index(spark, CRAWL_SOURCE, include_summary, CRAWL_SERVER, CRAWL_SITES, CRAWL_SPLITS):  # noqa: N803
+    """(docID, url) and (token, docID, pos) of pages (url, content), by token and docID; ids are hashes of URLs, so both outputs agree."""
+    docs = _crawl(spark, CRAWL_SOURCE, CRAWL_SERVER, CRAWL_SITES, CRAWL_SPLITS).select(F.sha1("url").alias("docID"), "url", "content")
     index = C.postings(docs, "docID", "content")
     if include_summary:
         stats = C.doc_stats(docs, "docID", "content")
         index = index.unionByName(stats.select(F.lit("na").alias("token"), "docID", F.col("n_tokens").alias("pos")))
-    return docs.select("docID", "url"), index.orderBy("token")
+    return docs.select("docID", "url"), index.orderBy("token", "docID")
 
 
-@operator("warcNgrams", {"WARC_FILE": str}, {"ARITY": 2, "FILTER_STOPWORDS": 0, "WORD_LEN_MIN": 2, "WORD_LEN_MAX": 20}, dest=("NGRAM_DEST",))
-def warc_ngrams(spark, WARC_FILE, ARITY, FILTER_STOPWORDS, WORD_LEN_MIN, WORD_LEN_MAX):  # noqa: N803
-    rows = _small(spark, WARC_FILE).select(_content().alias("text"))
+@operator("warcNgrams", {"WARC_FILE": str}, {"ARITY": 2, "FILTER_STOPWORDS": 0, "WORD_LEN_MIN": 2, "WORD_LEN_MAX": 20, "MAX_BYTES": MOST_BYTES}, dest=("NGRAM_DEST",))
+def warc_ngrams(spark, WARC_FILE, ARITY, FILTER_STOPWORDS, WORD_LEN_MIN, WORD_LEN_MAX, MAX_BYTES):  # noqa: N803
+    rows = _small(spark, WARC_FILE, MAX_BYTES).select(_content().alias("text"))
     return C.count_ngrams(rows, "text", ARITY, bool(FILTER_STOPWORDS), WORD_LEN_MIN, WORD_LEN_MAX).orderBy("words")
 
 
@@ -164,6 +184,18 @@ def ngram_frequencies(spark, NGRAM_FILE):  # noqa: N803
     return C.frequency_of_frequency(_counted(spark, NGRAM_FILE)).orderBy("freq")
 
 
+@operator("goodTuring", {"FREQS_FILE": str}, {"ENSURE_ONE": False}, dest=("PROBABILITIES_DEST",))
+def good_turing(spark, FREQS_FILE, ENSURE_ONE):  # noqa: N803
+    """(freq, probability) of the frequencies that ngramFrequencies writes."""
+    return S.good_turing(X.read_delimited(spark, FREQS_FILE, ",", "freq int, freq_of_freq long"), ensure_one=ENSURE_ONE).orderBy("freq")
+
+
+@operator("textNgramProbabilities", {"TEXT_FILE": str}, {"ARITY": 2}, dest=("DEST",))
+def text_ngram_probabilities(spark, TEXT_FILE, ARITY):  # noqa: N803
+    """(words, count, probability) of a plain text's n-grams."""
+    return C.ngram_probabilities(spark.read.text(TEXT_FILE, wholetext=True).select(F.col("value").alias("text")), "text", ARITY)
+
+
 @operator("smoothNgrams", {"NGRAM_FILE": str, "FREQS_FILE": str}, {"LIMIT": -1}, dest=("DEST",))
 def smooth_ngrams(spark, NGRAM_FILE, FREQS_FILE, LIMIT):  # noqa: N803
     probabilities = X.read_delimited(spark, FREQS_FILE, ",", "freq int, probability double")
@@ -177,19 +209,19 @@ def cull_ngrams(spark, NGRAM_FILE, MIN_LENGTH, MAX_LENGTH, COUNT_POS):  # noqa:
     return rows.where(~T.has_stopword("words") & T.lengths_between(MIN_LENGTH, MAX_LENGTH, "words")).select("words", "count")
 
 
-@operator("warcFilter", {"WARC_FILE": str, "WARC_FIELD": str, "REGEX": str}, {"MISSING": "keep"}, dest=("FILTERED_DEST",), warc=True)
-def warc_filter(spark, WARC_FILE, WARC_FIELD, REGEX, MISSING):  # noqa: N803
-    return C.keep_if(_small(spark, WARC_FILE), WARC_FIELD, REGEX, MISSING)
+@operator("warcFilter", {"WARC_FILE": str, "WARC_FIELD": str, "REGEX": str}, {"MISSING": "keep", "MAX_BYTES": MOST_BYTES}, dest=("FILTERED_DEST",), warc=True)
+def warc_filter(spark, WARC_FILE, WARC_FIELD, REGEX, MISSING, MAX_BYTES):  # noqa: N803
+    return C.keep_if(_small(spark, WARC_FILE, MAX_BYTES), WARC_FIELD, REGEX, MISSING)
 
 
-@operator("warcSetAside", {"WARC_FILE": str, "PERCENTAGE": float}, {"SEED": 0}, dest=("DEST_SAMPLE", "DEST_MAIN"), warc=True)
-def warc_set_aside(spark, WARC_FILE, PERCENTAGE, SEED):  # noqa: N803
-    return C.set_aside(_small(spark, WARC_FILE), "warcRecordId", PERCENTAGE, SEED)
+@operator("warcSetAside", {"WARC_FILE": str, "PERCENTAGE": float}, {"SEED": 0, "MAX_BYTES": MOST_BYTES}, dest=("DEST_SAMPLE", "DEST_MAIN"), warc=True)
+def warc_set_aside(spark, WARC_FILE, PERCENTAGE, SEED, MAX_BYTES):  # noqa: N803
+    return C.set_aside(_small(spark, WARC_FILE, MAX_BYTES), "warcRecordId", PERCENTAGE, SEED)
 
 
-@operator("warcStripHTML", {"WARC_FILE": str}, {"ROBUST": False}, dest=("STRIPPED_DEST",), warc=True)
-def warc_strip_html(spark, WARC_FILE, ROBUST):  # noqa: N803
-    rows = _small(spark, WARC_FILE)
+@operator("warcStripHTML", {"WARC_FILE": str}, {"ROBUST": False, "MAX_BYTES": MOST_BYTES}, dest=("STRIPPED_DEST",), warc=True)
+def warc_strip_html(spark, WARC_FILE, ROBUST, MAX_BYTES):  # noqa: N803
+    rows = _small(spark, WARC_FILE, MAX_BYTES)
     text = (H.strip_html_robust if ROBUST else H.strip_html)(_content())
     rows = rows.withColumn("__s", text)
     body = F.encode(F.col("__s.text"), "UTF-8")
@@ -205,13 +237,9 @@ def warc_text_only(spark, infile):
 
 @operator("concatColumns", {"RELATION_FILE": str, "SLICE_SPEC": str}, {"CONCAT_SEPARATOR": ""}, dest=("CONCAT_DEST",))
 def concat_columns(spark, RELATION_FILE, SLICE_SPEC, CONCAT_SEPARATOR):  # noqa: N803
+    """Lines may differ in length; where a line's slice is empty the result is null."""
     rows = X.read_delimited(spark, RELATION_FILE, ",")
-    # Lines may differ in length; each number of fields has its own bounds.
-    sizes = [r[0] for r in rows.select(F.size("fields")).distinct().collect()]
-    out = F.lit(None).cast("string")
-    for n in sizes:
-        out = F.when(F.size("fields") == n, R.concat_fields(F.col("fields"), SLICE_SPEC, n, CONCAT_SEPARATOR)).otherwise(out)
-    return rows.select(out.alias("concat"))
+    return rows.select(R.concat_fields(F.col("fields"), SLICE_SPEC, CONCAT_SEPARATOR).alias("concat"))
 
 
 @operator("jaccardSim", {"BAG1": str, "BAG2": str}, dest=("DEST",))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arkloom.functions import stats as S
 from arkloom.functions import text as T
 
 
@@ -15,13 +16,30 @@ def count_tokens(rows: DataFrame, tokens: Column) -> DataFrame:
 
 def count_ngrams(rows: DataFrame, text: str, n: int = 2, filter_stopwords: bool = False, least: int = 2, most: int = 20, more_than: int = 1) -> DataFrame:
     """(count, words) of n-grams of letters whose words have fitting lengths, if they occur more than ``more_than`` times."""
-    grams = rows.select(F.explode(T.ngrams(T.plain_words(text), n)).alias("words"))
-    grams = grams.where(T.only_letters("words") & T.lengths_between(least, most, "words"))
-    if filter_stopwords:
-        grams = grams.where(~T.has_stopword("words"))
+
+    def fit(w: Column) -> Column:
+        ok = T.only_letters(w) & T.lengths_between(least, most, w)
+        return F.when(ok & T.is_content_word(w) if filter_stopwords else ok, w)
+
+    # Unfit words become null, and runs that hold one are never built.
+    grams = F.filter(T.ngrams(F.transform(T.plain_words(text), fit), n), lambda g: g.isNotNull())
+    grams = rows.select(F.explode(grams).alias("words"))
     return grams.groupBy("words").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > more_than).select("count", "words")
 
 
+def fit_ngrams(counts: DataFrame, least: int = 2, most: int = 20, more_than: int = 1) -> DataFrame:
+    """Those of counted n-grams that ``count_ngrams`` keeps."""
+    return counts.where(T.only_letters("words") & T.lengths_between(least, most, "words") & (F.col("count") > more_than))
+
+
+def ngram_probabilities(rows: DataFrame, text: str = "text", n: int = 2) -> DataFrame:
+    """(words, count, probability) of the n-grams of plain text by Good-Turing; stopwords and URLs are kept."""
+    grams = rows.select(F.explode(T.ngrams(T.tokenise(text, stop=False), n)).alias("words"))
+    counts = grams.groupBy("words").agg(F.count(F.lit(1)).alias("count"))
+    probabilities = S.good_turing(frequency_of_frequency(counts))
+    return counts.join(probabilities, F.col("count") == F.col("freq")).select("words", "count", "probability")
+
+
 def frequency_of_frequency(counts: DataFrame, freq: str = "count") -> DataFrame:
     """(freq, freq_of_freq); rows without a number are left out."""
     rows = counts.select(F.col(freq).cast("string").try_cast("int").alias("freq")).where("freq IS NOT NULL")
@@ -31,9 +49,9 @@ def frequency_of_frequency(counts: DataFrame, freq: str = "count") -> DataFrame:
 def smooth_ngrams(counts: DataFrame, probabilities: DataFrame, limit: int = -1, rank_col: str | None = None) -> DataFrame:
     """(probability, words) of the ``limit`` likeliest n-grams of each first word, ties by the words; -1: all.
 
-    ``probabilities`` has one row a frequency (Good-Turing's tables are bounded), so it is broadcast.
+    ``probabilities`` has one row a frequency; how it is joined is left to Spark.
     """
-    rows = counts.join(F.broadcast(probabilities), F.col("count") == F.col("freq"))
+    rows = counts.join(probabilities, F.col("count") == F.col("freq"))
     if limit < 0:
         return rows.select("probability", "words")
     order = F.desc("probability") if rank_col is None else F.desc(rank_col)
@@ -80,6 +98,17 @@ def transcript_turns(files: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("path", "turn", F.right(parts[0], F.lit(1)).alias("role"), F.trim(parts[1]).alias("text"))
 
 
+def transcripts(files: DataFrame, file_topic: DataFrame, topics: DataFrame) -> DataFrame:
+    """(call_id, topic_id, topic, island, first_turn, role, text) of transcript files (path, text).
+
+    A file is named by its call; consecutive turns of one speaker are merged, and each
+    row gets its call's topic from (call_id, topic_id) and (topic_id, topic).
+    """
+    turns = transcript_turns(files).withColumn("call_id", F.regexp_extract("path", r"([^/.]+)[^/]*$", 1))
+    merged = merge_turns(turns.select("call_id", "turn", "role", "text"), "call_id")
+    return with_topic(merged, file_topic, topics).select("call_id", "topic_id", "topic", "island", "first_turn", "role", "text")
+
+
 def with_topic(rows: DataFrame, file_topic: DataFrame, topics: DataFrame, key: str = "call_id") -> DataFrame:
     """Joins a topic's description to each row by its file; rows without one are left out."""
     return rows.join(file_topic, key).join(topics, "topic_id")
@@ -95,7 +124,7 @@ def keep_if(df: DataFrame, field: str, regex: str, missing: str = "keep", heads:
     name = columns.get(field.lower()) or (aliases.get(field.lower()) if aliases.get(field.lower()) in df.columns else None)
     if name:
         value = F.col(name)
-        value = F.decode(value, "UTF-8") if dict(df.dtypes)[name] == "binary" else value.cast("string")
+        value = T.as_text(value) if dict(df.dtypes)[name] == "binary" else value.cast("string")
     else:
         found = F.filter(F.map_entries(heads), lambda e: F.lower(e["key"]) == field.lower())
         value = F.get(found, 0)["value"]

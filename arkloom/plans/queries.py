@@ -11,6 +11,7 @@ from arkloom.functions import html as H
 from arkloom.functions import rows as R
 from arkloom.functions import stats as S
 from arkloom.functions import text as T
+from arkloom.operators.registry import MOST_BYTES
 from arkloom.plans import corpus as C
 from arkloom.sources import crawl
 
@@ -102,8 +103,10 @@ def ngram_freq_of_freq(spark, d):
     return C.frequency_of_frequency(_all_bigrams(spark, d))
 
 
-_GT = f"""
-t0 AS (SELECT CAST(freq AS DOUBLE) AS r, CAST(freq_of_freq AS DOUBLE) AS n FROM ({_FOF})),
+def good_turing_sql(fof: str) -> str:
+    """The tables of Simple Good-Turing, the last of them gt, from a query for (freq, freq_of_freq)."""
+    return f"""
+t0 AS (SELECT CAST(freq AS DOUBLE) AS r, CAST(freq_of_freq AS DOUBLE) AS n FROM ({fof})),
 t1 AS (SELECT *, lag(r, 1, 0.0) OVER (ORDER BY r) AS i, lead(r) OVER (ORDER BY r) AS nr, lead(n) OVER (ORDER BY r) AS nn FROM t0),
 t2 AS (SELECT *, 2 * n / (coalesce(nr, 2 * r - i) - i) AS z FROM t1),
 fit AS (SELECT regr_slope(ln(z), ln(r)) AS b, regr_intercept(ln(z), ln(r)) AS a, sum(r * n) AS total, max(CASE WHEN r = 1 THEN n END) AS n1, count(*) AS k FROM t2),
@@ -113,6 +116,9 @@ t5 AS (SELECT *, CASE WHEN gone = 1 THEN y ELSE x END AS star FROM t4),
 gt AS (SELECT CAST(r AS INTEGER) AS freq, (1 - p0) * star / sum(star * n) OVER () AS probability FROM t5 WHERE k >= 5 UNION ALL SELECT DISTINCT 0, p0 FROM t5 WHERE k >= 5)"""
 
 
+_GT = good_turing_sql(_FOF)
+
+
 @query(f"WITH {_GT} SELECT freq, round(probability, 9) AS probability FROM gt")
 def good_turing(spark, d):
     return S.good_turing(ngram_freq_of_freq(spark, d)).select("freq", rounded("probability").alias("probability"))
@@ -122,8 +128,9 @@ def good_turing(spark, d):
 SELECT round(probability, 9) AS probability, words FROM (SELECT *, row_number() OVER (PARTITION BY split_part(words, ',', 1) ORDER BY count DESC, words) AS k FROM c JOIN gt ON count = freq) WHERE k <= 3""")
 def smooth_topk(spark, d):
     """The three likeliest followers of each word."""
-    counts = C.count_ngrams(table(spark, d, "documents"), "text", 2)
-    gt = S.good_turing(ngram_freq_of_freq(spark, d))
+    grams = _all_bigrams(spark, d)
+    # Both sides come from one count of the corpus, whose shuffle is used twice.
+    counts, gt = C.fit_ngrams(grams), S.good_turing(C.frequency_of_frequency(grams))
     return C.smooth_ngrams(counts, gt, 3, "count").select(rounded("probability").alias("probability"), "words")
 
 
@@ -136,20 +143,20 @@ def cull_bigrams(spark, d):
 _TF = f"SELECT doc_id, token, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS tf FROM ({_TOKENS}) WHERE token NOT IN {_STOP} GROUP BY doc_id, token"
 
 
-def _doc_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(T.tokenise("text")).alias("token"))
+def _tf(spark, d):
+    return S.row_term_frequencies(table(spark, d, "documents"), "doc_id", T.tokenise("text"))
 
 
 @query(f"SELECT doc_id, token, n, round(tf, 9) AS tf FROM ({_TF})")
 def term_frequency(spark, d):
-    return S.term_frequencies(_doc_tokens(spark, d)).select("doc_id", "token", "n", rounded("tf").alias("tf"))
+    return _tf(spark, d).select("doc_id", "token", "n", rounded("tf").alias("tf"))
 
 
 @query(f"""WITH tf AS ({_TF}), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
 SELECT doc_id, token, n, round(tf, 9) AS tf, df, round(tf * log10((SELECT count(*) FROM documents) / (1.0 + df)), 9) AS tfidf FROM tf JOIN df USING (token)""")
 def tfidf(spark, d):
     size = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
-    out = S.tfidf(_doc_tokens(spark, d), size)
+    out = S.tfidf_of(_tf(spark, d), size)
     return out.select("doc_id", "token", "n", rounded("tf").alias("tf"), "df", rounded("tfidf").alias("tfidf"))
 
 
@@ -219,9 +226,13 @@ def _strip_sql() -> str:
         t = rf"regexp_replace({t}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
     t = rf"regexp_replace(regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
     t = rf"trim(regexp_replace({t}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
-    for name, value in H.ENTITIES.items():
-        t = f"replace({t}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
-    return t
+    listed = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    names, values = listed(H.ENTITIES), listed(H.ENTITIES.values())
+    number, named = H.NUMERIC.replace(r"\A", "^"), H.NAMED.replace(r"\A", "^")
+    code = f"coalesce(TRY_CAST(regexp_extract(p, '{number}', 1) AS INTEGER), TRY_CAST('0x' || regexp_extract(p, '{number}', 2) AS INTEGER))"
+    one = f"""CASE WHEN coalesce({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111, false) THEN chr({code}) || regexp_replace(p, '{number}', '')
+      WHEN list_contains({names}, regexp_extract(p, '{named}', 1)) THEN {values}[list_position({names}, regexp_extract(p, '{named}', 1))] || regexp_replace(p, '{named}', '') ELSE '&' || p END"""
+    return f"(SELECT s[1] || array_to_string(list_transform(s[2:], lambda p: {one}), '') FROM (SELECT string_split({t}, '&') AS s))"
 
 
 @query(f"SELECT page_id, t AS text, CAST(length(t) AS INTEGER) AS text_len FROM (SELECT page_id, {_strip_sql()} AS t FROM pages)")
@@ -311,9 +322,9 @@ def columns_to_rows(spark, d):
     return n.select("n_nationkey", R.as_bag(n).alias("value"))
 
 
-@query("SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents WHERE strlen(text) < 20000")
+@query(f"SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents WHERE strlen(text) < {MOST_BYTES}")
 def size_guard(spark, d):
-    return table(spark, d, "documents").where(F.octet_length("text") < 20000).select("doc_id", F.octet_length("text").alias("n_bytes"))
+    return table(spark, d, "documents").where(F.octet_length("text") < MOST_BYTES).select("doc_id", F.octet_length("text").alias("n_bytes"))
 
 
 @query("SELECT length(token) AS len, count(*) AS n FROM (" + _TOKENS + ") GROUP BY 1")

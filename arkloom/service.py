@@ -18,6 +18,7 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from arkloom.operators import registry
+from arkloom.session import settled
 
 
 class Status(str, Enum):
@@ -90,10 +91,13 @@ class JobManager:
                 op = registry.REGISTRY[operator]
                 rows = None
                 if not any(params.get(d) for d in op.dest):
-                    rows = [df.limit(10_000).collect() for df in (out if isinstance(out, tuple) else (out,))]
+                    # Whole results, as tables in the shared folder; a client iterates over them.
+                    rows = [settled(df, "result") for df in (out if isinstance(out, tuple) else (out,))]
                 state.status, state.progress = Status.SUCCEEDED.value, 100
                 future.set_result(rows)
             except Exception as error:  # noqa: BLE001
+                if not isinstance(error, registry.OperatorError) and not self.spark.sparkContext.statusTracker().getJobIdsForGroup(state.name):
+                    error = registry.StartError(f"{type(error).__name__}: {error}")
                 state.status, state.error_code, state.message = Status.FAILED.value, 1, f"{type(error).__name__}: {error}"[:2000]
                 future.set_exception(error)
             state.runtime = time.time() - self.jobs[state.name][2]
@@ -119,6 +123,9 @@ class JobManager:
             state.progress, state.runtime = (100 * done // total if total else 0), time.time() - began
             if ids:
                 state.status = Status.RUNNING.value
+            elif state.runtime > self.start_timeout and state.status == Status.PREP.value:
+                state.status, state.error_code, state.message = Status.FAILED.value, 3, f"StartError: nothing ran within {self.start_timeout} s"
+                self.spark.sparkContext.cancelJobGroup(name)
         return state
 
     def wait(self, name: str, timeout: float = 600.0, poll: float = 0.5) -> JobState:
@@ -140,6 +147,13 @@ class JobManager:
             state.status = Status.KILLED.value
         return state
 
+    def drain(self, queue_name: str = "default") -> list[JobState]:
+        """The states that have come to a queue since it was last drained."""
+        waiting, out = self.queues.setdefault(queue_name, queue.Queue()), []
+        while not waiting.empty():
+            out.append(waiting.get())
+        return out
+
     def echo(self, text: str) -> str:
         return text
 
@@ -155,7 +169,11 @@ class JobManager:
 
 
 def serve(manager: JobManager, port: int = 0) -> http.server.ThreadingHTTPServer:
-    """Serves requests by POST on the loopback interface; ``getJobStatus`` and ``testCall`` are built in."""
+    """Serves requests by POST on the loopback interface.
+
+    ``getJobStatus``, ``getQueue``, ``killJob`` and ``testCall`` are built in.  The part ``request`` of a request may
+    name a disposition, its queue, and a port of this machine that is told when the job ends.
+    """
 
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_POST(self):  # noqa: N802
@@ -166,9 +184,15 @@ def serve(manager: JobManager, port: int = 0) -> http.server.ThreadingHTTPServer
                     out, code = manager.progress(r.params.get("jobName", "")).to_json(), 200
                 elif r.operator == "testCall":
                     out, code = json.dumps({"echo": r.params}), 200
+                elif r.operator == "getQueue":
+                    out, code = json.dumps([asdict(s) for s in manager.drain(r.params.get("queue", "default"))]), 200
+                elif r.operator == "killJob":
+                    out, code = manager.kill(r.params.get("jobName", "")).to_json(), 200
                 else:
-                    out, code = manager.submit(r.operator, r.params).to_json(), 200
-            except registry.OperatorError as error:
+                    how, port = Disposition(r.request.get("disposition", Disposition.DISCARD.value)), r.request.get("notifyPort")
+                    tell = (lambda s: post(int(port), Request("jobDone", asdict(s)))) if port else None
+                    out, code = manager.submit(r.operator, r.params, how, r.request.get("queue", "default"), tell).to_json(), 200
+            except (registry.OperatorError, ValueError, KeyError) as error:
                 out, code = json.dumps({"error": type(error).__name__, "message": str(error)}), 400
             self.send_response(code)
             self.send_header("Content-Type", "application/json")

@@ -6,6 +6,7 @@
 
 Options of the reader: ``includeContent`` (true) reads no content if false,
 ``mode`` says what a truncated record does: DROPREST of the file, or FAILFAST.
+Only the columns of a given schema are made, so one without ``content`` skips it.
 Plain files are cut into record-aligned ranges of ``rangeBytes``; compressed ones
 are one partition each.  ``warc_type`` equality is pushed into the reader.
 """
@@ -16,6 +17,7 @@ import bz2
 import glob
 import gzip
 import io
+import itertools
 import os
 import uuid
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ from pyspark.sql.types import StructType
 
 VERSIONS = (b"WARC/1.0", b"WARC/0.18")
 SCHEMA = "warcRecordId string, contentLength int, date string, warc_type string, optionalHeaderFlds map<string,string>, content binary"
+_COLUMNS = ("warcRecordId", "contentLength", "date", "warc_type", "optionalHeaderFlds", "content")
 _MANDATORY = ("warc-record-id", "content-length", "warc-date", "warc-type")
 RANGE = 64 << 20
 
@@ -115,8 +118,9 @@ class WarcRange(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, options):
-        self.content = str(options.get("includeContent", "true")).lower() == "true"
+    def __init__(self, options, names: tuple[str, ...] = _COLUMNS):
+        self.at = [_COLUMNS.index(n) for n in names]
+        self.content = str(options.get("includeContent", "true")).lower() == "true" and "content" in names
         self.mode = str(options.get("mode", "DROPREST")).upper()
         self.range = int(options.get("rangeBytes", RANGE))
         self.files = files_of(options["path"])
@@ -152,7 +156,7 @@ class WarcReader(DataSourceReader):
                 f.seek(partition.start)
             for r in read_records(f, self.content, self.mode, partition.stop):
                 if all(r[3] == k for k in self.kinds):
-                    yield r
+                    yield tuple(r[i] for i in self.at)
 
 
 class PushingWarcReader(WarcReader):
@@ -226,7 +230,7 @@ class WarcDataSource(DataSource):
 
     def reader(self, schema):
         pushing = str(self.options.get("pushFilters", "false")).lower() == "true"
-        return (PushingWarcReader if pushing else WarcReader)(self.options)
+        return (PushingWarcReader if pushing else WarcReader)(self.options, tuple(schema.names))
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options, schema, overwrite)
@@ -240,21 +244,29 @@ def _parse_files(batches, content: bool, mode: str):
         for raw in batch.column(0):
             data = raw.as_py()
             data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bz2.decompress(data) if data[:3] == b"BZh" else data
-            rows = list(read_records(io.BytesIO(data), content, mode))
-            for i in range(0, len(rows), 256):
-                cols = zip(*rows[i : i + 256], strict=True)
+            records = read_records(io.BytesIO(data), content, mode)
+            while rows := list(itertools.islice(records, 256)):
+                cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) if isinstance(x, dict) else x for x in c], t.type) for c, t in zip(cols, kind, strict=True)], schema=kind)
 
 
-def read_warc(spark, path: str, **options):
-    """Records of the WARC files at ``path``: by the data source where it is a mounted folder, else by Spark's file reader."""
+def read_warc(spark, path: str, columns: list[str] | None = None, **options):
+    """Records of the WARC files at ``path``: by the data source where it is a mounted folder, else by Spark's file reader.
+
+    With ``columns`` only these are made.
+    """
     scheme = path.partition("://")[0] if "://" in path else ""
     if scheme in ("", "file"):
         spark.dataSource.register(WarcDataSource)
         pushing = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-        return spark.read.format("warc").options(**{"pushFilters": pushing} | options).load(path)
+        reader = spark.read.format("warc").options(**{"pushFilters": pushing} | options)
+        if columns:
+            kinds = {c.strip().split(" ")[0]: c for c in SCHEMA.replace("string,string", "string;string").split(",")}
+            reader = reader.schema(",".join(kinds[c].replace(";", ",") for c in columns))
+        return reader.load(path)
     content, mode = str(options.get("includeContent", "true")).lower() == "true", str(options.get("mode", "DROPREST")).upper()
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda it: _parse_files(it, content, mode), SCHEMA)
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda it: _parse_files(it, content, mode), SCHEMA)
+    return rows.select(*columns) if columns else rows
 
 
 def write_warc(df, path: str, mode: str = "append", **options) -> None:

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,44 @@ def test_native_plans_run_no_python(spark):
     docs = spark.createDataFrame([("x",)], "text string")
     plan = C.count_tokens(docs, T.tokenise("text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [("&reg; &bull; &copy;", "\u00ae \u2022 \u00a9"), ("&#169 x &#xe9;t&#xE9", "\u00a9 x \u00e9t\u00e9"), ("&amp;lt; &lt;b&gt;", "&lt; <b>"), ("a & b &nothing; &#0; &#xD800; &#99999999;", None), ("&apos;&quot;", "'\""), ("&", "&"), ("AT&T", "AT&T")],
+)
+def test_entities(spark, html, text):
+    assert value(spark, H.strip_html(F.lit(f"<p>{html}</p>")))[0] == (html if text is None else text)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_ngrams_by_the_letter(spark, n):
+    rows = [[], ["one"], ["a", "b"], ["x", "y", "z", "x_y", "9"], [f"w{i}" for i in range(30)]]
+    df = spark.createDataFrame([(r,) for r in rows], "w array<string>")
+    for r in df.select("w", T.ngrams(F.col("w"), n).alias("g")).collect():
+        assert r["g"] == [",".join(r["w"][i : i + n]) for i in range(len(r["w"]) - n + 1)]
+
+
+def test_term_frequencies_of_rows(spark):
+    docs = spark.createDataFrame([(1, "cat dog cat"), (2, ""), (3, None), (4, "dog")], "doc_id long, text string")
+    got = S.row_term_frequencies(docs, "doc_id", T.tokenise("text"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    tokens = docs.select("doc_id", F.explode(T.tokenise("text")).alias("token"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.term_frequencies(tokens).select("doc_id", "token", "n", "tf").collect()))
+
+
+def test_windowed_and_running_counts(spark, tmp_path):
+    from arkloom.streaming import counts
+
+    rows = [("2020-01-01 00:10:00", "cat dog"), ("2020-01-01 03:00:00", "dog"), ("2020-01-01 00:20:00", "late cat"), ("2020-01-01 09:00:00", "end")]
+    for r in rows:
+        spark.createDataFrame([r], "at string, text string").selectExpr("CAST(at AS timestamp) AS ts", "text").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.01)
+    stream = counts.read_growing(spark, str(tmp_path / "in"), "ts timestamp, text string", 1)
+    run = lambda df, mode, name: df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    run(counts.running_counts(stream), "complete", "running")
+    assert {r["word"]: r["count"] for r in spark.table("running").collect()} == {"cat": 2, "dog": 2, "late": 1, "end": 1}
+    run(counts.windowed_counts(stream, "ts", "text"), "append", "windowed")
+    got = {(str(r["start"]), r["text"]): r["count"] for r in spark.table("windowed").collect()}
+    assert got[("2020-01-01 00:00:00", "cat dog")] == 1 and got[("2020-01-01 03:00:00", "dog")] == 1

@@ -105,6 +105,34 @@ def test_operators(spark, tmp_path):
         run("warcNgrams")
 
 
+def test_bytes_that_are_not_text(spark, tmp_path):
+    """Latin-1 pages through all operators that look into content."""
+    page = "<html><body>caf\u00e9 caf\u00e9 noir</body></html>".encode("latin1")
+    path = str(tmp_path / "a.warc")
+    (tmp_path / "a.warc").write_bytes(raw(("<urn:1>", "d", "response", {"Name": "a.html"}, page), ("<urn:2>", "d", "response", {}, b"\xff\xfe cat cat noir cat noir")))
+    run = lambda name, **p: registry.run(spark, name, {"WARC_FILE": path} | p)
+    words = {r["word"]: r["count"] for r in run("warcWordCount").collect()}
+    assert words["caf\ufffd"] == 2 and words["cat"] == 3
+    assert {r["words"]: r["count"] for r in run("warcNgrams").collect()}["cat,noir"] == 2
+    assert run("warcStripHTML").where("warcRecordId = '<urn:1>'").first()["content"] == "caf\ufffd caf\ufffd noir".encode()
+    assert run("warcStripHTML", ROBUST=True).count() == 2
+    assert run("warcFilter", WARC_FIELD="content", REGEX=r"[\s\S]*noir[\s\S]*").count() == 2
+    assert run("warcSetAside", PERCENTAGE=100)[0].count() == 2 and run("warcRecordCount").first()[0] == 2
+    assert registry.run(spark, "warcGetTextOnly", {"infile": path}).first()[0].startswith("<html><body>caf\ufffd")
+    assert run("warcNgrams", MAX_BYTES=10).count() == 0 and run("warcNgrams", MAX_BYTES=-1).count() == 1
+    with pytest.raises(registry.ParameterError):
+        run("warcSetAside", PERCENTAGE="many")
+    with pytest.raises(registry.ParameterError):
+        run("warcNgrams", WORD_LEN_MIN=0)
+
+
+def test_columns_asked_for(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(raw(*RECORDS))
+    df = warc.read_warc(spark, str(tmp_path), ["warc_type", "optionalHeaderFlds", "contentLength"])
+    assert df.columns == ["warc_type", "optionalHeaderFlds", "contentLength"]
+    assert sorted((r[0], len(r[1]), r[2]) for r in df.collect()) == sorted((k, len(h), len(b)) for _, _, k, h, b in RECORDS)
+
+
 def test_file_operators(spark, tmp_path):
     (tmp_path / "grams").write_text("3,big,cat\n1,big,dog\n3,the,dog\n2,a,b\n\n")
     (tmp_path / "freqs").write_text("1,0.1\n3,0.2\n")
@@ -115,6 +143,9 @@ def test_file_operators(spark, tmp_path):
     assert {tuple(r) for r in top.collect()} == {(0.2, "big,cat"), (0.2, "the,dog")}
     assert [tuple(r) for r in run("cullNgrams", NGRAM_FILE=str(tmp_path / "last")).collect()] == [("big,cat", 3)]
     assert [r[0] for r in run("concatColumns", RELATION_FILE=str(tmp_path / "last"), SLICE_SPEC="0:2", CONCAT_SEPARATOR="_").collect()] == ["big_cat", "the_dog", "x_yy"]
+    (tmp_path / "ragged").write_text("a,b,c\nd\n")
+    ragged = run("concatColumns", RELATION_FILE=str(tmp_path / "ragged"), SLICE_SPEC="1:", CONCAT_SEPARATOR="_").collect()
+    assert sorted((r[0] for r in ragged), key=str) == [None, "b_c"]
     (tmp_path / "a").write_text("x\nx\ny\n")
     (tmp_path / "b").write_text("y\nz\n")
     assert run("jaccardSim", BAG1=str(tmp_path / "a"), BAG2=str(tmp_path / "b")).first()[0] == 1 / 3
@@ -155,7 +186,7 @@ def test_service(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(raw(*RECORDS))
     jobs = service.JobManager(spark)
     job = jobs.submit("warcRecordCount", {"WARC_FILE": str(tmp_path / "a.warc")}, service.Disposition.QUEUE)
-    assert jobs.wait(job.name).status == "SUCCEEDED" and jobs.result(job.name)[0][0][0] == 3
+    assert jobs.wait(job.name).status == "SUCCEEDED" and jobs.result(job.name)[0].first()[0] == 3
     assert jobs.queues["default"].get(timeout=5).name == job.name
     assert jobs.wait(jobs.submit("nothing", {}).name).status == "FAILED"
     assert jobs.progress("unknown").status == "UNKNOWN"
