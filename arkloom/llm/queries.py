@@ -165,3 +165,95 @@ def op2_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op2_pii_contexts)
+
+ORACLE_SQL["op8_warc_chain"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t) AS n, sha1(t) AS x, row_number() OVER (PARTITION BY t ORDER BY page_id NULLS LAST) AS k, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to FROM h
+"""
+
+_SPACES = r"[\x20\x09-\x0D]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOW_WORDS = f"SELECT doc_id, list_filter(string_split_regex({_LOWER}, '{_SPACES}'), lambda x: x <> '') AS w FROM documents"
+
+#: Pairs share one of their rarest shingles (as many as a similarity of 0.8 leaves out of a set, and one), and are held against whole sets.
+ORACLE_SQL["op5_near_duplicates"] = f"""
+WITH RECURSIVE s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS s FROM ({_LOW_WORDS})),
+c AS (SELECT min(doc_id) AS cid, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT cid, n, unnest(s) AS t FROM c),
+f AS (SELECT t, count(*) AS df FROM e GROUP BY t HAVING count(*) > 1),
+r AS (SELECT cid, n, t, row_number() OVER (PARTITION BY cid ORDER BY df, t) AS k, count(*) OVER (PARTITION BY cid) AS m FROM e JOIN f USING (t)),
+q AS (SELECT DISTINCT a.cid AS a, b.cid AS b FROM r a JOIN r b ON a.t = b.t AND a.cid < b.cid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  WHERE a.k <= a.m - (4 * a.n + 4) // 5 + 1 AND b.k <= b.m - (4 * b.n + 4) // 5 + 1),
+l AS (SELECT a, b FROM q JOIN c x ON x.cid = a JOIN c y ON y.cid = b WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+z AS (SELECT cid AS a, cid AS b FROM c UNION SELECT z.a, g.b FROM z JOIN g ON z.b = g.a),
+k AS (SELECT a AS cid, min(b) AS comp FROM z GROUP BY a)
+SELECT s.doc_id, CAST(coalesce(len(s.s), 0) AS BIGINT) AS n_shingles, coalesce(c.cid, s.doc_id) AS class_id, coalesce(comp, s.doc_id) AS component_id, s.doc_id = coalesce(comp, s.doc_id) AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN k ON c.cid = k.cid
+"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can say."""
+    from .mixing import mix
+
+    rows = mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+query(mix_targets)
+
+ORACLE_SQL["mix_targets"] = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACES}'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS n, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w FROM d GROUP BY source),
+o AS (SELECT *, CAST(3.0 * n / w AS DOUBLE) AS ratio FROM s),
+v AS (SELECT ratio, CAST((SELECT sum(n) FROM o) - coalesce((SELECT sum(3.0 * n) FROM o b WHERE b.ratio < a.ratio), 0) AS DOUBLE) / (SELECT sum(w) FROM o b WHERE b.ratio >= a.ratio) AS level FROM o a),
+x AS (SELECT arg_min(level, ratio) AS level FROM v WHERE level <= ratio)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(CAST(least(3.0 * n, coalesce((SELECT level FROM x) * w, 3.0 * n)) AS DOUBLE), 6) AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source
+"""
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can say, with a split that it can say too."""
+    from .suffix_tree import score
+
+    rows = score(table(spark, sf_dir, "documents"), F.col("doc_id") % 7 != 2)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+query(lm_base)
+
+ORACLE_SQL["lm_base"] = f"""
+WITH t AS (SELECT doc_id, unnest(list_append(coalesce(w, []), ' ')) AS t FROM ({_LOW_WORDS})),
+c AS (SELECT t, count(*) AS c FROM t WHERE doc_id % 7 <> 2 GROUP BY t),
+a AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, doc_id % 7 = 2 AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+FROM t LEFT JOIN c USING (t), a GROUP BY doc_id
+"""
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can say."""
+    from .pii import KINDS, with_base
+
+    rows = with_base(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return rows.select("doc_id", *map(count, KINDS))
+
+
+query(pii_counts)
+
+_OCTET = "0*(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+ORACLE_SQL["pii_counts"] = rf"""
+SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda m: regexp_full_match(m, '{_OCTET}(\.{_OCTET}){{3}}'))) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda m: regexp_replace(m, '[ -]', '', 'g')), lambda m: length(m) BETWEEN 14 AND 19
+    AND list_sum(list_transform(range(1, length(m) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(m, CAST(length(m) - i + 1 AS INTEGER), 1) AS INTEGER)
+      ELSE (2 * CAST(substr(m, CAST(length(m) - i + 1 AS INTEGER), 1) AS INTEGER)) // 10 + (2 * CAST(substr(m, CAST(length(m) - i + 1 AS INTEGER), 1) AS INTEGER)) % 10 END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""

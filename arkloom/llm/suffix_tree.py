@@ -49,6 +49,8 @@ END = 255
 COMMON = 1 / 400_000
 #: Tasks of a step by tasks of the input, so that what one reads stays in proportion.
 SPREAD = 2
+#: Buckets by tasks, which evens out what tasks get; but for very many tasks, where rows would be small.
+BUCKETS, MANY = 8, 4096
 LANE = 1024
 HELD = 1 << 20
 #: The unigram's part in a word's probability, chosen on a part of the training rows that was left out for it.
@@ -474,8 +476,14 @@ def _finish(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBa
         yield told()
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    """(tasks, buckets) of a step."""
+    tasks = max(8, SPREAD * rows.rdd.getNumPartitions())
+    return tasks, tasks * max(1, min(BUCKETS, MANY // tasks))
+
+
+def _bucketed(df: DataFrame, tasks: int) -> DataFrame:
+    return df.repartition(tasks, "kind", "bucket").sortWithinPartitions("kind", "bucket")
 
 
 PACKED = "kind string, bucket long, packed binary"
@@ -485,10 +493,10 @@ def fit(docs: DataFrame, train: Column, share: float = SHARE, unigram: float = U
     """Learns from rows of ``docs`` (doc_id, text) for which ``train`` holds; returns the model file's URI."""
     texts = docs.where(train).select("text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(32, SPREAD * texts.rdd.getNumPartitions())
+    tasks, buckets = _sizes(texts)
     modest(docs.sparkSession)
-    gathered = _bucketed(texts.mapInArrow(lambda it: _gather(it, buckets), PACKED), buckets)
-    summed_up = _bucketed(gathered.mapInArrow(lambda it: _reduce(it, buckets, max(2.0, COMMON * total)), PACKED), buckets)
+    gathered = _bucketed(texts.mapInArrow(lambda it: _gather(it, buckets), PACKED), tasks)
+    summed_up = _bucketed(gathered.mapInArrow(lambda it: _reduce(it, buckets, max(2.0, COMMON * total)), PACKED), tasks)
     reduced = cut(summed_up.mapInArrow(lambda it: _shorten(it, share * total), PACKED), "lm")
     words_n, types, n_docs = 0, 0, 0
     common, tables = [], {}
@@ -516,8 +524,8 @@ def score(docs: DataFrame, train: Column, share: float = SHARE, unigram: float =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     uri = fit(docs, train, share, unigram)
     rows = docs.select("doc_id", train.alias("train"), "text")
-    buckets = max(32, SPREAD * rows.rdd.getNumPartitions())
-    sent = _bucketed(rows.mapInArrow(lambda it: _assess(it, uri, buckets), PACKED), buckets)
-    home = sent.mapInArrow(lambda it: _return(it, uri), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    tasks, buckets = _sizes(rows)
+    sent = _bucketed(rows.mapInArrow(lambda it: _assess(it, uri, buckets), PACKED), tasks)
+    home = sent.mapInArrow(lambda it: _return(it, uri), PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return home.mapInArrow(lambda it: _finish(it, uri), schema)
