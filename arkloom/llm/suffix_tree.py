@@ -396,7 +396,7 @@ def _assess(batches: Iterator[pa.RecordBatch], uri: str, buckets: int) -> Iterat
             posts.append((h[~hit], ((n + row[~hit]) << 1) | trains[row[~hit]], tree[~hit].astype(np.float32)))
             n += b - a
             held += int((~hit).sum())
-            if n >= BLOCK_ROWS or held > 2 * HELD:
+            if n >= BLOCK_ROWS or held > HELD // 2:
                 yield from told()
                 rows, posts, n, held, block = [], [], 0, 0, block + 1
     if rows:
@@ -408,9 +408,9 @@ def _return(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBa
     """Counts the words of each bucket and sends logarithms back to the blocks ("s"); passes "r" on."""
     model = mapped(uri)
     whole, part = float(model["tokens"][0] + model["types"][0] + 1), float(model["unigram"][0])
-    at, parts = None, []
+    at, parts, back = None, [], []
 
-    def told() -> Iterator[pa.RecordBatch]:
+    def told() -> None:
         h, key, tree = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         h, key, tree = h[order], key[order], tree[order]
@@ -420,14 +420,23 @@ def _return(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBa
         order = np.argsort(key, kind="stable")
         key, per, tree = key[order] >> np.uint64(1), per[order], tree[order].astype(np.float64)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        base, known = np.add.reduceat(np.log10(per + 1.0), first), np.add.reduceat((per > 0).astype(np.uint32), first)
-        model_p, key = np.add.reduceat(blend(tree, per, whole, part), first), key[first]
+        base, known = np.add.reduceat(np.log10(per + 1.0), first), np.add.reduceat((per > 0).astype(np.int64), first)
+        back.append((key[first], base, known, np.add.reduceat(blend(tree, per, whole, part), first)))
+
+    def sent() -> pa.RecordBatch:
+        """What the buckets so far have for each row, added up."""
+        key, base, known, model_p = (np.concatenate(c) for c in zip(*back, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, base, known, model_p = key[order], base[order], known[order], model_p[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        base, known, model_p = (np.add.reduceat(c, first) for c in (base, known, model_p))
+        key = key[first]
         block, row = key >> np.uint64(19), (key & np.uint64((1 << 19) - 1)).astype(np.uint32)
         edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         pairs = []
         for a, b in zip(edge, np.append(edge[1:], len(key)), strict=True):
             pairs.append((int(block[a]), b"".join(c[a:b].tobytes() for c in (row, base, known.astype(np.uint32), model_p))))
-        yield _rows("s", pairs)
+        return _rows("s", pairs)
 
     for batch in batches:
         for kind, bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -436,11 +445,15 @@ def _return(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBa
                 continue
             if bucket != at:
                 if at is not None:
-                    yield from told()
+                    told()
+                    if sum(len(b[0]) for b in back) > 2 * HELD:
+                        yield sent()
+                        back = []
                 at, parts = bucket, []
             parts.append(undo(raw.as_buffer().to_pybytes(), "u8", "u8", "f4"))
     if at is not None:
-        yield from told()
+        told()
+        yield sent()
 
 
 @lean
