@@ -47,7 +47,7 @@ SHARE = 4e-7
 #: A word of more bytes is left to exact merging.
 LONGEST = 64
 SLICE = 2 << 20
-KNOWN = 150_000
+KNOWN = 300_000
 #: Bytes of words that a task keeps at most beside the texts at hand.
 KEPT = 32 << 20
 #: Symbols from which a word is merged by itself.
@@ -115,20 +115,23 @@ class Merges:
         sym = self.single[np.frombuffer(b"".join([words[i] for i in live.tolist()]), np.uint8)]
         size = lens[live]
         worst = np.int64(1 << 40)
+        word = np.repeat(np.arange(len(live)), size)
+        at, rank = np.zeros(len(sym), np.int64), np.full(len(sym), worst)
+        new = np.arange(len(sym))  # where the pair that begins is not yet looked up
         while len(live):
+            if len(new) and new[-1] == len(sym) - 1:
+                rank[-1] = worst
+                new = new[:-1]
+            key = (sym[new] << 32) | sym[new + 1]
+            i = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            at[new] = i
+            rank[new] = np.where((self.pair[i] == key) & (word[new] == word[new + 1]), self.rank[i], worst)
             start = np.cumsum(size) - size
-            word = np.repeat(np.arange(len(live)), size)
-            key = (sym[:-1] << 32) | sym[1:]
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            rank = np.full(len(sym), worst)
-            rank[:-1] = np.where((self.pair[at] == key) & (word[:-1] == word[1:]), self.rank[at], worst)
             least = np.minimum.reduceat(rank, start)
             done = least == worst
-            if done.any():
-                for i in np.flatnonzero(done).tolist():
-                    out[live[i]] = sym[start[i] : start[i] + size[i]]
-            hit = (rank == least[word]) & (rank < worst)
-            where = np.flatnonzero(hit)
+            for i in np.flatnonzero(done).tolist():
+                out[live[i]] = sym[start[i] : start[i] + size[i]]
+            where = np.flatnonzero((rank == least[word]) & (rank < worst))
             if not len(where):
                 break
             # In a run of overlapping pairs every other one is merged, from the left.
@@ -140,8 +143,17 @@ class Merges:
             sym[where] = self.made[at[where]]
             keep = ~done[word]
             keep[where + 1] = False
+            # Pairs that begin at a merged symbol or end with one are new.
+            new = np.zeros(len(sym) + 1, bool)
+            new[where] = True
+            new[where - 1] |= where > 0
+            before = np.maximum.accumulate(np.where(keep, np.arange(len(sym)), -1))
+            left = before[where - 1]
+            new[left[(where > 0) & (left >= 0)]] = True
             gone = np.bincount(word[where], minlength=len(live))
-            sym, live, size = sym[keep], live[~done], (size - gone)[~done]
+            live, size = live[~done], (size - gone)[~done]
+            sym, at, rank, new = sym[keep], at[keep], rank[keep], np.flatnonzero(new[:-1][keep])
+            word = np.repeat(np.arange(len(live)), size)
         return out
 
     def merge_long(self, sym: np.ndarray) -> np.ndarray:
@@ -195,12 +207,21 @@ class Merges:
 
     def ids(self, units: list[str]) -> list[np.ndarray]:
         """Ids of units of text; each is cut by the pre-tokenizer's pattern first."""
-        parts = [[p.encode() for p in _pieces.findall(u)] for u in units]
-        flat = self.merge([p for u in parts for p in u])
+        pieces, counts = [], []
+        for u in units:
+            # A word of ASCII letters, with a blank before it or not, is one piece.
+            if u.isascii() and (u[1:] if u[:1] == " " else u).isalpha():
+                pieces.append(u.encode())
+                counts.append(1)
+            else:
+                own = _pieces.findall(u)
+                pieces += [p.encode() for p in own]
+                counts.append(len(own))
+        flat = self.merge(pieces)
         out, i = [], 0
-        for u in parts:
-            out.append(np.concatenate(flat[i : i + len(u)]) if u else np.zeros(0, np.int64))
-            i += len(u)
+        for n in counts:
+            out.append(flat[i] if n == 1 else np.concatenate(flat[i : i + n]) if n else np.zeros(0, np.int64))
+            i += n
         return out
 
     def spell(self, ids: np.ndarray, name: str = "token") -> bytes:
