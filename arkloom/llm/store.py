@@ -21,6 +21,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,26 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local[app]}"
 
 
+def _trim() -> None:
+    """Gives back what this process's allocators keep of memory freed already."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trim(spark: SparkSession) -> None:
+    """``_trim`` for the driver, Python and JVM: compiling plans and code leaves the JVM hundreds of MB outside its heap."""
+    _trim()
+    jvm = spark._jvm
+    with contextlib.suppress(Py4JJavaError):  # another JVM, or one before 17.0.9, has no such command
+        # By reflection, as the server's own class is not open to callers.
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[1] = "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def lean(f):
     """For generators that run in Python workers: frees the memory they leave, since idle workers stay."""
 
@@ -53,9 +74,7 @@ def lean(f):
         try:
             yield from f(*args, **more)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            _trim()
 
     return run
 
@@ -98,12 +117,14 @@ def drop(*tables: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Deletes what this session's operators have written to the shared folder, but for tables to keep.
+    """Deletes what this session's operators have written to the shared folder, but for tables to keep, and frees the
+    driver's memory that they no longer use.
 
     For when every result so far is written: those not yet computed can't be any more.
     """
     for path in list(_made):
         _delete(spark, path)
+    trim(spark)
 
 
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
