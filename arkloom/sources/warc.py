@@ -14,16 +14,17 @@ are one partition each.  ``warc_type`` equality is pushed into the reader.
 from __future__ import annotations
 
 import bz2
+import contextlib
+import ctypes
 import glob
 import gzip
 import io
-import itertools
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 VERSIONS = (b"WARC/1.0", b"WARC/0.18")
@@ -31,6 +32,9 @@ SCHEMA = "warcRecordId string, contentLength int, date string, warc_type string,
 _COLUMNS = ("warcRecordId", "contentLength", "date", "warc_type", "optionalHeaderFlds", "content")
 _MANDATORY = ("warc-record-id", "content-length", "warc-date", "warc-type")
 RANGE = 64 << 20
+#: Records pass between Python and the JVM in batches of about so many bytes, and of so many records at most.
+BATCH_BYTES = 1 << 20
+BATCH_ROWS = 256
 
 
 class TruncatedRecord(ValueError):
@@ -84,6 +88,38 @@ def read_records(f: io.BufferedIOBase, content: bool = True, mode: str = "DROPRE
         yield heads.get("warc-record-id"), n, heads.get("warc-date"), heads.get("warc-type"), rest, body if content else None
 
 
+def batches_of(records: Iterator[tuple], names: tuple[str, ...] = _COLUMNS) -> Iterator:
+    """Arrow batches of these columns of records, so small that a worker's memory depends on its largest record only."""
+    import pyarrow as pa
+
+    kinds = {"contentLength": pa.int32(), "optionalHeaderFlds": pa.map_(pa.string(), pa.string()), "content": pa.binary()}
+    kinds = [kinds.get(n, pa.string()) for n in names]
+    at = [_COLUMNS.index(n) for n in names]
+
+    def batch() -> pa.RecordBatch:
+        columns = ([list(r[i].items()) if isinstance(r[i], dict) else r[i] for r in rows] for i in at)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+    rows, size = [], 0
+    for r in records:
+        rows.append(r)
+        size += len(r[5] or b"") + sum(len(v) for v in r[4].values())
+        if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+            yield batch()
+            rows, size = [], 0
+    if rows:
+        yield batch()
+
+
+def _trim() -> None:
+    """Gives back what this worker's allocators keep of memory freed already; idle workers stay."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def open_any(path: str) -> io.BufferedIOBase:
     """The file's bytes, decompressed if they begin as gzip (of any number of members) or bzip2 does."""
     f = open(path, "rb")  # noqa: SIM115
@@ -119,7 +155,7 @@ class WarcRange(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options, names: tuple[str, ...] = _COLUMNS):
-        self.at = [_COLUMNS.index(n) for n in names]
+        self.names = names
         self.content = str(options.get("includeContent", "true")).lower() == "true" and "content" in names
         self.mode = str(options.get("mode", "DROPREST")).upper()
         self.range = int(options.get("rangeBytes", RANGE))
@@ -154,9 +190,9 @@ class WarcReader(DataSourceReader):
         with open_any(partition.path) as f:
             if partition.start:
                 f.seek(partition.start)
-            for r in read_records(f, self.content, self.mode, partition.stop):
-                if all(r[3] == k for k in self.kinds):
-                    yield tuple(r[i] for i in self.at)
+            records = read_records(f, self.content, self.mode, partition.stop)
+            yield from batches_of((r for r in records if all(r[3] == k for k in self.kinds)), self.names)
+        _trim()
 
 
 class PushingWarcReader(WarcReader):
@@ -175,8 +211,11 @@ class Written(WriterCommitMessage):
     path: str | None
 
 
-class WarcWriter(DataSourceWriter):
-    """One file a task, written under another name and moved into place when the job commits."""
+class WarcWriter(DataSourceArrowWriter):
+    """One file a task, written under another name and moved into place when the job commits.
+
+    Of a batch, one record at a time is made a Python object.
+    """
 
     def __init__(self, options, schema: StructType, overwrite: bool):
         self.path = options["path"].removeprefix("file://").removeprefix("file:")
@@ -189,21 +228,24 @@ class WarcWriter(DataSourceWriter):
     def write(self, iterator):
         os.makedirs(self.path, exist_ok=True)
         name = f"{self.path}/_part-{uuid.uuid4().hex}.warc" + (".gz" if self.gzip else "")
-        f, known = None, set(self.names)
-        for row in iterator:
-            if f is None:
-                f = open(name, "wb")  # noqa: SIM115
-            get = lambda k: row[k] if k in known else None  # noqa: E731, B023
-            content = get("content")
-            content = content.encode() if isinstance(content, str) else content
-            heads = get("optionalHeaderFlds")
-            if self.gzip:
-                with gzip.GzipFile(fileobj=f, mode="wb") as member:
-                    write_record(member, get("warcRecordId"), get("date"), get("warc_type"), heads, content)
-            else:
-                write_record(f, get("warcRecordId"), get("date"), get("warc_type"), heads, content)
+        f = None
+        for batch in iterator:
+            columns = dict(zip(self.names, batch.columns, strict=True))
+            for i in range(batch.num_rows):
+                if f is None:
+                    f = open(name, "wb")  # noqa: SIM115
+                get = lambda k: columns[k][i].as_py() if k in columns else None  # noqa: E731, B023
+                content, heads = get("content"), get("optionalHeaderFlds")
+                content = content.encode() if isinstance(content, str) else content
+                record = get("warcRecordId"), get("date"), get("warc_type"), dict(heads or ()), content
+                if self.gzip:
+                    with gzip.GzipFile(fileobj=f, mode="wb") as member:
+                        write_record(member, *record)
+                else:
+                    write_record(f, *record)
         if f is not None:
             f.close()
+        _trim()
         return Written(name if f is not None else None)
 
     def commit(self, messages):
@@ -237,17 +279,11 @@ class WarcDataSource(DataSource):
 
 
 def _parse_files(batches, content: bool, mode: str):
-    import pyarrow as pa
-
-    kind = pa.schema([("warcRecordId", pa.string()), ("contentLength", pa.int32()), ("date", pa.string()), ("warc_type", pa.string()), ("optionalHeaderFlds", pa.map_(pa.string(), pa.string())), ("content", pa.binary())])
     for batch in batches:
         for raw in batch.column(0):
             data = raw.as_py()
             data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bz2.decompress(data) if data[:3] == b"BZh" else data
-            records = read_records(io.BytesIO(data), content, mode)
-            while rows := list(itertools.islice(records, 256)):
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) if isinstance(x, dict) else x for x in c], t.type) for c, t in zip(cols, kind, strict=True)], schema=kind)
+            yield from batches_of(read_records(io.BytesIO(data), content, mode))
 
 
 def read_warc(spark, path: str, columns: list[str] | None = None, **options):
@@ -269,7 +305,25 @@ def read_warc(spark, path: str, columns: list[str] | None = None, **options):
     return rows.select(*columns) if columns else rows
 
 
+@contextlib.contextmanager
+def small_batches(spark):
+    """Rows go to Python in batches of at most BATCH_ROWS and BATCH_BYTES meanwhile; lower settings stay."""
+    conf, before = spark.conf, {}
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        before[name] = conf.get(name, None)
+        now = (before[name] or "").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def write_warc(df, path: str, mode: str = "append", **options) -> None:
     """Writes (warcRecordId, date, warc_type[, optionalHeaderFlds], content); a folder with files in it is an error unless overwritten."""
     df.sparkSession.dataSource.register(WarcDataSource)
-    df.write.format("warc").options(**options).mode(mode).save(path)
+    with small_batches(df.sparkSession):
+        df.write.format("warc").options(**options).mode(mode).save(path)

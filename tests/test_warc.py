@@ -207,3 +207,19 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["warcRecordCount", "--WARC_FILE", str(tmp_path / "a.warc")], spark) == 0
     assert cli.main(["warcNgrams", "--WARC_FILE", str(tmp_path / "a.warc"), "--ARITY", "x"], spark) == 2
     assert C.keep_if is not None and "ParameterError" in capsys.readouterr().err
+
+
+def test_records_pass_in_small_batches(spark, tmp_path):
+    """Workers hold a few records at a time, however many a file or a partition has."""
+    (tmp_path / "a.warc").write_bytes(raw(*[(f"<urn:{i}>", "d", "response", {"N": str(i)}, b"x" * 20_000) for i in range(600)]))
+    reader = warc.WarcReader({"path": str(tmp_path / "a.warc")})
+    batches = list(reader.read(reader.partitions()[0]))
+    assert max(b.nbytes for b in batches) < 2 * warc.BATCH_BYTES and max(b.num_rows for b in batches) <= warc.BATCH_ROWS
+    assert sum(b.num_rows for b in batches) == 600 and batches[0].column(4)[1].as_py() == [("n", "1")]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with warc.small_batches(spark):
+        assert int(spark.conf.get(name)) <= warc.BATCH_ROWS
+    assert spark.conf.get(name) == before
+    warc.write_warc(warc.read_warc(spark, str(tmp_path / "a.warc")).repartition(1), str(tmp_path / "out"))
+    assert warc.read_warc(spark, str(tmp_path / "out")).where("length(content) = 20000").count() == 600
