@@ -370,8 +370,11 @@ def crawl_frames(spark, d):
 @query(f"SELECT token AS word, count(*) AS count FROM ({_TOKENS}) WHERE token NOT IN {_STOP} GROUP BY token")
 def streaming_counts(spark, d):
     """An extension: the word counts of a growing folder, after all that is there."""
-    docs, marks, name = work_folder(spark, "stream"), work_folder(spark, "marks"), "counts_" + work_folder(spark, "x")[-32:]
-    table(spark, d, "documents").select("doc_id", "text").repartition(3).write.parquet(docs)
-    words = live.running_counts(live.read_growing(spark, docs, "doc_id long, text string", 1))
-    words.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("word", "count")
+    docs, marks, out = (work_folder(spark, n) for n in ("stream", "marks", "counts"))
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    # Three steps of the stream, each over as many files as keep all cores busy: every step gives out all words so far.
+    files = -(-max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism) // 3)
+    rows.repartition(3 * files).write.parquet(docs)
+    words = live.running_counts(live.read_growing(spark, docs, "doc_id long, text string", files))
+    last = live.into_folder(words, out, marks)
+    return spark.read.schema(words.schema).parquet(last) if last else spark.createDataFrame([], words.schema)

@@ -22,3 +22,18 @@ def windowed_counts(rows: DataFrame, ts: str, key: str, width: str = "1 hour", l
     """(start, key, count) of tumbling windows; rows later than ``late`` are dropped with their windows' state."""
     w = rows.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key).agg(F.count(F.lit(1)).alias("count"))
     return w.select(F.col("w.start").alias("start"), key, "count")
+
+
+def into_folder(counts: DataFrame, path: str, marks: str) -> str | None:
+    """Runs a complete-mode query over all that is there; each step's rows are written below ``path`` by the executors.
+
+    Returns the folder of the last step, which has the result, or None if there was no step.
+    """
+    steps: list[str] = []
+
+    def write(rows: DataFrame, step: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/step-{step}")
+        steps.append(f"{path}/step-{step}")
+
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return steps[-1] if steps else None
