@@ -206,3 +206,24 @@ def test_windowed_and_running_counts(spark, tmp_path):
     run(counts.windowed_counts(stream, "ts", "text"), "append", "windowed")
     got = {(str(r["start"]), r["text"]): r["count"] for r in spark.table("windowed").collect()}
     assert got[("2020-01-01 00:00:00", "cat dog")] == 1 and got[("2020-01-01 03:00:00", "dog")] == 1
+
+
+def test_plain_words_are_cut_fast(spark):
+    """Any character but an ASCII letter, digit or underscore separates, and 20 MB take seconds, not a second a MB."""
+    marks = [chr(c) for c in [*range(0x3000), 0xFF21, 0x1D400, 0x1F600]]
+    got = spark.createDataFrame([("a" + m + "b",) for m in marks], "t string").select("t", T.plain_words("t").alias("w")).collect()
+    solid = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+    assert all(r["w"] == ([r["t"]] if r["t"][1] in solid else ["a", "b"]) for r in got)
+    texts = spark.range(0, 20, 1, 1).select(F.expr("repeat('plain words, cut by marks; ', 40000)").alias("t")).cache()
+    assert texts.count() == 20
+    start = time.time()
+    assert texts.select(F.sum(F.size(T.plain_words("t")))).first()[0] == 20 * 40000 * 5
+    assert time.time() - start < 10
+
+
+def test_texts_without_a_protocol_are_split(spark):
+    """Tokens are the same whether a text holds the name of a protocol or not."""
+    for text in ("profile of files, ftpx http_ mailtoo", "a http", "http", "x (file) y", "rtsp://a.b c", "no, such: name\u00a0here"):
+        alone = value(spark, T.tokenise(F.lit(text), stop=False))
+        joined = value(spark, T.tokenise(F.lit(f"see ftp://q.r {text}"), stop=False))
+        assert joined == ["see", "ftp://q.r", *alone]
